@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid
+from . import langid, ngram_join
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": langid.op1_language_id}
+    return {
+        "op1_language_id": langid.op1_language_id,
+        "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
