@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, langid, ngram_join, pii
+from . import decontam, embed_dedup, langid, ngram_join, pii
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
         "op4_embedding_near_dedup": embed_dedup.op4_embedding_near_dedup,
         "op5_personal_data": pii.op5_personal_data,
+        "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
     }
 
 
