@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, embed_dedup, langid, ngram_join, pii
+from . import decontam, embed_dedup, langid, ngram_join, pii, sp_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": langid.op1_language_id,
         "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
+        "op3_sentencepiece": sp_scan.op3_sentencepiece,
         "op4_embedding_near_dedup": embed_dedup.op4_embedding_near_dedup,
         "op5_personal_data": pii.op5_personal_data,
         "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
