@@ -27,6 +27,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import save, table, without
 
@@ -492,7 +493,7 @@ def encode(df: DataFrame, text: str = "text", path: str = MODEL, chunk: int = CH
     df = without(df, ("token_ids", "key_"))
     size = F.coalesce(F.length(text), F.lit(0))
     small, giant = df.where(size <= chunk), df.where(size > chunk)
-    schema = df.withColumn("token_ids", F.expr("array()").cast("array<int>")).schema
+    schema = T.StructType([*df.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
@@ -522,7 +523,7 @@ def decoded(ids: list[int], m: Model) -> str:
 def decode(df: DataFrame, token_ids: str = "token_ids", path: str = MODEL, to: str = "decoded") -> DataFrame:
     """Add the decoded text; null gives null, no ids an empty text."""
     df = without(df, (to,))
-    schema = df.withColumn(to, F.lit("").cast("string")).schema
+    schema = T.StructType([*df.schema.fields, T.StructField(to, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
