@@ -154,21 +154,18 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text")
     return rows.mapInArrow(run, "item_id bigint, hash bigint, wpos int, item_slots array<string>, size int, n_windows int")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
-    """(doc_id, item_id, n_matched, n_windows, coverage, exact_slots) of documents that hold a benchmark item.
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    return docs.withColumn("text_key_", F.unhex(F.md5(F.col(text))))
 
-    A pair is reported if windows on alignments with consistent slots cover at
-    least `coverage` of the item's windows; exact_slots tells whether all their
-    fillers are the item's own. Items of fewer than three template tokens have
-    no window and are never found. Null and empty texts hold nothing. Repeated
-    documents are all reported, repeated items once. Other columns are ignored.
-    """
+
+def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
+    """(key, item_id, n_matched, n_windows, coverage, exact_slots) by the md5 of the texts that hold an item."""
     spark = docs.sparkSession
     bench = save(item_windows(items, item_id, item_text), "bench")
     shape = bench.agg(F.approx_count_distinct("hash").alias("n"), F.collect_set("size").alias("sizes")).first()
     sizes, slices = sorted(shape.sizes), max(1, -(-int(shape.n * 1.1) // SLICE))
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).where("t is not null").withColumn("key", F.unhex(F.md5("t")))
-    hits = None
+    texts = docs.select(F.col(text).alias("t")).where("t is not null").select(F.unhex(F.md5("t")).alias("key"), "t")
+    hits = spark.createDataFrame([], "key binary, hash bigint, pos int, slots array<string>")
     for k in range(slices if sizes else 0):
         part = bench.where(F.pmod(F.col("hash"), F.lit(slices)) == k).select("hash").distinct()
         wanted = spark.sparkContext.broadcast(np.array(sorted(r.hash for r in part.toLocalIterator()), np.int64))
@@ -177,11 +174,8 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
             for batch in batches:
                 yield from _emit(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sizes, wanted.value)
 
-        found = keyed.select("key", "t").mapInArrow(run, "key binary, hash bigint, pos int, slots array<string>, length int")
-        hits = found if hits is None else hits.union(found)
-    if hits is None:
-        return keyed.select("doc_id", F.lit(0).cast("bigint").alias("item_id"), F.lit(0).cast("bigint").alias("n_matched"), F.lit(0).alias("n_windows"), F.lit(0.0).alias("coverage"), F.lit(True).alias("exact_slots")).where("false")
-    hits = save(hits.drop("length").distinct(), "hits")
+        hits = hits.union(texts.mapInArrow(run, "key binary, hash bigint, pos int, slots array<string>, length int").drop("length"))
+    hits = save(hits.distinct(), "hits")
     met = hits.join(bench, "hash").withColumn("diag", F.col("pos") - F.col("wpos"))
     fills = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
     aligned = met.groupBy("key", "item_id", "diag").agg(
@@ -192,9 +186,27 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     pairs = aligned.where(one_to_one).groupBy("key", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("wpos")))).cast("bigint").alias("n_matched"), F.first("n_windows").alias("n_windows"), F.bool_and(same).alias("exact_slots")
     )
-    pairs = pairs.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= coverage)
-    pairs = save(pairs, "pairs")
-    return keyed.select("doc_id", "key").join(pairs, "key").select("doc_id", "item_id", "n_matched", "n_windows", "coverage", "exact_slots")
+    return save(pairs.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= coverage), "pairs")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """(doc_id, item_id, n_matched, n_windows, coverage, exact_slots) of documents that hold a benchmark item.
+
+    A pair is reported if windows on alignments with consistent slots cover at
+    least `coverage` of the item's windows; exact_slots tells whether all their
+    fillers are the item's own. Items of fewer than three template tokens have
+    no window and are never found. Null and empty texts hold nothing. Repeated
+    documents are all reported, repeated items once. Other columns are ignored.
+    """
+    pairs = matches(docs, items, text, **how)
+    keyed = _keyed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")), "t").select("doc_id", "text_key_")
+    return keyed.join(pairs, F.col("text_key_") == F.col("key")).select("doc_id", "item_id", "n_matched", "n_windows", "coverage", "exact_slots")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", **how) -> DataFrame:
+    """The rows of docs that hold no benchmark item, with all their columns; null texts stay."""
+    found = matches(docs, items, text, **how).select("key").distinct()
+    return _keyed(docs, text).join(found, F.col("text_key_") == F.col("key"), "left_anti").select(*docs.columns)
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,6 +245,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", F.col("node_").alias("node"), F.when(F.col("node_").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "class_node", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how: float) -> DataFrame:
+    """The rows of docs with the smallest doc_id of each class, one for each; texts without words all stay.
+
+    All columns are kept. Of repeated rows with one doc_id and one text one stays.
+    """
+    found = near_duplicates(docs, doc_id, text, **how)
+    first = found.where(F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("class_node")))
+    first = save(first.select(F.col("node").alias("keep_node_"), F.coalesce("doc_id", F.lit(_LAST)).alias("keep_id_")).distinct(), "first")
+    words = words_of(F.col(text))
+    keyed = docs.withColumns({"node_": F.when(words != "", F.unhex(F.md5(words))), "id_": F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_LAST))})
+    kept = keyed.join(first, (F.col("node_") == F.col("keep_node_")) & (F.col("id_") == F.col("keep_id_"))).dropDuplicates(["keep_node_", "keep_id_"])
+    return kept.select(*docs.columns).union(keyed.where("node_ is null").select(*docs.columns))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near copies (five words, Jaccard >= 0.8) and its number of links."""
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
