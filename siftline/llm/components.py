@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     null ends are ignored; an edge may occur often and in both directions.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a != b")
-    both = save(e.select("a", "b").union(e.select("b", "a")).distinct(), "edges")
+    both = _stars(save(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"))
     labels = save(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
     while True:
         near = both.join(labels.withColumnsRenamed({"node": "b", "component": "c"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
@@ -37,6 +37,21 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             return labels.select("node", "component")
 
 
+def _stars(down: DataFrame) -> DataFrame:
+    """Both directions of edges that connect the same nodes, without the multiplicity of `down` (a > b).
+
+    Each node keeps its edge to its smallest neighbour below; its other
+    neighbours below get an edge to that one. Block pairs link a node to one
+    root each, and these roots are few, so equal edges fall together.
+    """
+    least = save(down.groupBy("a").agg(F.min("b").alias("m")), "least")
+    moved = down.join(least, "a").where("b != m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+    out = save(least.select("a", F.col("m").alias("b")).union(moved).distinct(), "stars")
+    forget(down)
+    forget(least)
+    return save(out.select("a", "b").union(out.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
+
+
 def block_pairs(members: DataFrame, group: str, node: str, size: int) -> DataFrame:
     """Deal each group's rows into blocks of about `size`, and each row to every pair of blocks it is in.
 
