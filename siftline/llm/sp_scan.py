@@ -33,13 +33,14 @@ from .common import save, table, without
 
 #: Where the model lies; never copied into the repository.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK, MEMO = 32_768, 1_000_000
+CHUNK, MEMO = 32_768, 200_000
 NEG = float("-inf")
 SPACE = "▁"
 #: A state: (piece id, or minus one minus the code point of a character without a piece; characters reached over).
 #: FREE is the state at a text's ends and where units meet: any piece may follow.
 State = tuple[int, int]
 FREE: State = (1 << 40, 0)
+_ONE = (1,)
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -91,11 +92,22 @@ class Model:
         self.unk_score = min((self.score[i] for i in self.ids.values()), default=0.0) - 10
         #: No piece has a space mark after another character: then units stand alone.
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        #: Units by text: the latest, and those before them, so that frequent ones last.
         self.memo: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+        #: Lengths of the pieces, longest first, by the first four characters, or three, or two.
+        by: dict[str, set[int]] = {}
+        for piece in self.ids:
+            for k in (2, 3, 4):
+                if len(piece) >= k:
+                    by.setdefault(piece[:k], set()).add(len(piece))
+        for prefix, sizes in by.items():
+            sizes |= {k for k in range(1, len(prefix)) if k == 1 or prefix[:k] in self.ids}
+        self.lengths = {prefix: sorted(sizes, reverse=True) for prefix, sizes in by.items()}
         if self.kind == 2:
             order = sorted(self.ids.values(), key=lambda i: (-self.score[i], i))
             self.rank = {i: r for r, i in enumerate(order)}
-            self.fits: dict[tuple[int, int], bool] = {}
+            self.fits: dict[int, bool] = {}
             self.parts: dict[int, tuple[int, int]] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -135,13 +147,17 @@ class Model:
             return self.score[b] if b >= 0 else self.unk_score
         if b < 0 or a < 0 or a == FREE[0]:
             return 0.0
-        ok = self.fits.get((a, b))
+        ok = self.fits.get(a << 24 | b)
         if ok is None:
-            if len(self.fits) > 2 * MEMO:
-                self.fits.clear()
-            ok = self.fits[a, b] = self._stays(a, b)
+            ok = self._fit_anew(a, b)
         return 0.0 if ok else NEG
 
+    def _fit_anew(self, a: int, b: int) -> bool:
+        if len(self.fits) > 4 * MEMO:
+            self.fits.clear()
+        ok = self.fits[a << 24 | b] = self._stays(a, b)
+        return ok
+
     def _stays(self, a: int, b: int) -> bool:
         """Whether merging the text of a and b leaves a and b.
 
@@ -214,14 +230,60 @@ class Model:
         """The pieces of a text that stands alone, remembered."""
         got = self.memo.get(text)
         if got is None:
-            _, back = self.forward(text, 0, len(text), FREE[0])
-            got = self.trace(back, 0, len(text))
+            got = self.older.get(text)
+            if got is None:
+                if self.kind == 2:
+                    got = self.first_path(text)
+                else:
+                    _, back = self.forward(text, 0, len(text), FREE[0])
+                    got = self.trace(back, 0, len(text))
             if len(text) <= 64:
                 if len(self.memo) >= MEMO:
-                    self.memo.clear()
+                    self.older, self.memo = self.memo, {}
                 self.memo[text] = got
         return got
 
+    def first_path(self, text: str) -> list[int]:
+        """The first path of weight 0 through a BPE lattice, longest pieces first.
+
+        No other path has that weight, and a place is reached by one path at
+        most, so a place that led nowhere once needs no second visit: linear.
+        """
+        get, ok, lengths, n = self.ids.get, self.fits.get, self.lengths.get, len(text)
+        out: list[int] = []
+        ends: list[int] = []
+        dead: set[int] = set()
+        at, prev, below = 0, -1, n + 1
+        while at < n:
+            for size in lengths(text[at : at + 4]) or lengths(text[at : at + 3]) or lengths(text[at : at + 2]) or _ONE:
+                end = at + size
+                if end >= below or (dead and end in dead):
+                    continue
+                i = get(text[at:end])
+                if i is None:
+                    if size > 1:
+                        continue
+                    i = -1 - ord(text[at])
+                    break
+                if prev < 0:
+                    break
+                fit = ok(prev << 24 | i)
+                if fit or (fit is None and self._fit_anew(prev, i)):
+                    break
+            else:
+                dead.add(at)
+                if not out:
+                    raise ValueError("no path through the lattice")
+                out.pop()
+                below = ends.pop()
+                at = ends[-1] if ends else 0
+                prev = out[-1] if out else -1
+                continue
+            out.append(i)
+            ends.append(end)
+            at, prev, below = end, i, n + 1
+        return out
+
     def pieces(self, text: str) -> list[int]:
         """The pieces of a whole normalised text."""
         if not self.cuts:
@@ -515,21 +577,24 @@ def encode(df: DataFrame, text: str = "text", path: str = MODEL, chunk: int = CH
     return small.mapInArrow(whole, schema).unionByName(long)
 
 
-def decoded(ids: list[int], m: Model) -> str:
-    """The text of ids: byte pieces are bytes again, space marks spaces, without the mark that encoding put before."""
-    return m.sp.decode(ids)
+@lru_cache(2)
+def processor(path: str):
+    """The library's decoder alone, without a lattice's tables."""
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
 def decode(df: DataFrame, token_ids: str = "token_ids", path: str = MODEL, to: str = "decoded") -> DataFrame:
-    """Add the decoded text; null gives null, no ids an empty text."""
+    """Add the decoded text: byte pieces are bytes again, space marks spaces. Null gives null, no ids an empty text."""
     df = without(df, (to,))
     schema = T.StructType([*df.schema.fields, T.StructField(to, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        sp = processor(path)
         for batch in batches:
             at = batch.schema.names.index(token_ids)
-            texts = [None if ids is None else decoded(ids, m) for ids in batch.column(at).to_pylist()]
+            texts = [None if ids is None else sp.decode(ids) for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, to])
 
     return df.mapInArrow(run, schema)
