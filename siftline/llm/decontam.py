@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +28,19 @@ from .common import mix64, runs, save, table
 WINDOW, LITERALS, COVERAGE = 5, 3, 0.5
 #: Hashes broadcast at once (8 bytes each).
 SLICE = 2_000_000
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 300_000
 
 # Units and number words that count as slots.
 UNITS = "km m cm mm mi miles mile feet foot ft inches inch yards yard kg g mg t tons lb lbs pounds pound oz ounces l ml litres liters gallons hours hour h minutes minute min seconds second s days day weeks week months month years year dollars dollar cents cent euros euro eur usd percent degrees mph kmh km/h kw kwh w v a hz mb gb tb"
 NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million"
 
 _NUM = re.compile(r"\d+(?:[.,:/]\d+)*|\b(?:" + "|".join(NUMBER_WORDS.split()) + r")\b", re.I)
-_HAS_NUM = re.compile(r"\d|\b(?:two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|\w+teen|\w+ty|hundred|thousand|million)\b", re.I)
+_DIGITS = re.compile(r"\d+(?:[.,:/]\d+)*")
+_DIGIT = re.compile(r"\d")
 _UNIT = re.compile(r"(?<=\x01)(\s*)(?:[%€$£°]|(?:" + "|".join(map(re.escape, UNITS.split())) + r")\b)", re.I)
 _UP, _LOW = "A-ZÀ-ÖØ-ÞĀĂĄĆĈČĎĐĒĖĘĚĜĞĠĢĤĪĮİĴĶĹĻĽŁŃŅŇŌŐŒŔŘŚŜŞŠŢŤŪŮŰŲŴŶŸŹŻŽΑ-ΩА-Я", "a-zß-öø-ÿāăąćĉčďđēėęěĝğġģĥīįıĵķĺļľłńņňōőœŕřśŝşšţťūůűųŵŷźżžα-ωа-я"
 _TITLE = re.compile(f"[{_UP}][{_LOW}]+")
-_MARKS = re.compile("[ -©«-±´¶-¸»¿ -⁯　-〿＀-／]")
+_MARKS = re.compile("[\u00a0-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u2000-\u206f\u3000-\u303f\uff00-\uff0f]")
 
 _WORD = np.zeros(256, bool)
 _WORD[[1, 2, 3, *range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -48,6 +50,23 @@ _BASE = 0xA24BAED4963EE407
 _powers: list[np.ndarray] = []
 
 
+@lru_cache(1)
+def _number_words():
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for w in NUMBER_WORDS.split():
+        found.add_word(w, len(w))
+    found.make_automaton()
+    return found
+
+
+def _has_number_word(low: str) -> bool:
+    """Whether a number word stands alone somewhere; one pass, whatever the number of words."""
+    n = len(low)
+    return any((e + 1 == n or not low[e + 1].isalnum()) and (e - k < 0 or not low[e - k].isalnum()) for e, k in _number_words().iter(low))
+
+
 def template(text: str) -> tuple[str, list[str], list[str], list[str]]:
     """The template of a text, and the fillers of its number, name and unit slots in order."""
     nums: list[str] = []
@@ -66,9 +85,10 @@ def template(text: str) -> tuple[str, list[str], list[str], list[str]]:
             at = m.end()
     if parts:
         text = "".join((*parts, text[at:]))
-    if _HAS_NUM.search(text):
-        nums = [x.lower() for x in _NUM.findall(text)]
-        text = _NUM.sub(" \x01", text)
+    numbers = _NUM if _has_number_word(text.lower()) else _DIGITS if _DIGIT.search(text) else None
+    if numbers:
+        nums = [x.lower() for x in numbers.findall(text)]
+        text = numbers.sub(" \x01", text)
         units = [m[0].strip().lower() for m in _UNIT.finditer(text)]
         text = _UNIT.sub(" \x03 ", text).replace("\x01", "\x01 ")
     return text.lower(), nums, names, units

@@ -26,7 +26,7 @@ DIM, ORDER = 1024, 3
 #: More learned languages than this is an error, not a silent cut: they go to the driver.
 MAX_LANGUAGES = 2000
 #: Letters handled at once; bounds the count matrix, not the text.
-CHUNK_CHARS, CHUNK_CELLS = 1_000_000, 12_000_000
+CHUNK_CHARS, CHUNK_CELLS = 300_000, 2_000_000
 UND = "und"
 
 _letters: list[np.ndarray] = []

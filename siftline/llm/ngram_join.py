@@ -32,7 +32,7 @@ WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 HASHES, ROWS, STEP = 128, 4, 16
 BANDS = HASHES // ROWS
 BUCKET_BLOCK, FAMILY_BLOCK = 128, 96
-CHUNK_BYTES, CHUNK_SHINGLES, CHUNK_COLUMNS = 2_000_000, 65_536, 8192
+CHUNK_BYTES, CHUNK_SHINGLES, CHUNK_COLUMNS = 500_000, 65_536, 8192
 
 _LAST = (1 << 63) - 1
 _BASE = 0xD1342543DE82EF95
