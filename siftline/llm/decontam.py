@@ -40,7 +40,8 @@ _DIGIT = re.compile(r"\d")
 _UNIT = re.compile(r"(?<=\x01)(\s*)(?:[%€$£°]|(?:" + "|".join(map(re.escape, UNITS.split())) + r")\b)", re.I)
 _UP, _LOW = "A-ZÀ-ÖØ-ÞĀĂĄĆĈČĎĐĒĖĘĚĜĞĠĢĤĪĮİĴĶĹĻĽŁŃŅŇŌŐŒŔŘŚŜŞŠŢŤŪŮŰŲŴŶŸŹŻŽΑ-ΩА-Я", "a-zß-öø-ÿāăąćĉčďđēėęěĝğġģĥīįıĵķĺļľłńņňōőœŕřśŝşšţťūůűųŵŷźżžα-ωа-я"
 _TITLE = re.compile(f"[{_UP}][{_LOW}]+")
-_MARKS = re.compile("[\u00a0-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u2000-\u206f\u3000-\u303f\uff00-\uff0f]")
+#: Punctuation beyond ASCII.
+_MARKS = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xA0, 0xA9), (0xAB, 0xB1), (0xB4, 0xB4), (0xB6, 0xB8), (0xBB, 0xBB), (0xBF, 0xBF), (0x2000, 0x206F), (0x3000, 0x303F), (0xFF00, 0xFF0F))) + "]")
 
 _WORD = np.zeros(256, bool)
 _WORD[[1, 2, 3, *range(48, 58), *range(97, 123), *range(128, 256)]] = True

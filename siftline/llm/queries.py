@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, embed_dedup, langid, ngram_join, pii, sp_scan
+from . import chat_format, decontam, embed_dedup, langid, ngram_join, pii, sp_scan, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,9 +16,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentencepiece": sp_scan.op3_sentencepiece,
         "op4_embedding_near_dedup": embed_dedup.op4_embedding_near_dedup,
         "op5_personal_data": pii.op5_personal_data,
+        "op6_url_filter": url_filter.op6_url_filter,
+        "op7_chat_format": chat_format.op7_chat_format,
         "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_filter": url_filter.OP6_SQL, "op7_chat_format": chat_format.OP7_SQL}
