@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontam, embed_dedup, langid, ngram_join, pii, sp_scan, toxicity, url_filter
+from . import chat_format, decontam, embed_dedup, html_crf, langid, ngram_join, pii, sp_scan, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_personal_data": pii.op5_personal_data,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_chat_format": chat_format.op7_chat_format,
+        "op8_html_extraction": html_crf.op8_html_extraction,
         "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
         "op10_toxicity": toxicity.op10_toxicity,
     }
