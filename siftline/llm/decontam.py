@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, runs, save, table
+from .common import lean, mix64, runs, save, table
 
 WINDOW, LITERALS, COVERAGE = 5, 3, 0.5
 #: Hashes broadcast at once (8 bytes each).
@@ -172,7 +172,7 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text")
                     yield pa.RecordBatch.from_arrays([pa.array([item] * n, pa.int64()), out.column(1), out.column(2), out.column(3), pa.array([size] * n, pa.int32()), pa.array([n] * n, pa.int32())], ["item_id", "hash", "wpos", "item_slots", "size", "n_windows"])
 
     rows = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).alias("text")).where("text is not null and item_id is not null").distinct()
-    return rows.mapInArrow(run, "item_id bigint, hash bigint, wpos int, item_slots array<string>, size int, n_windows int")
+    return rows.mapInArrow(lean(run), "item_id bigint, hash bigint, wpos int, item_slots array<string>, size int, n_windows int")
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
@@ -195,7 +195,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
             for batch in batches:
                 yield from _emit(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sizes, wanted.value)
 
-        hits = hits.union(texts.mapInArrow(run, "key binary, hash bigint, pos int, slots array<string>, length int").drop("length"))
+        hits = hits.union(texts.mapInArrow(lean(run), "key binary, hash bigint, pos int, slots array<string>, length int").drop("length"))
     hits = save(hits.distinct(), "hits")
     met = hits.join(bench, "hash").withColumn("diag", F.col("pos") - F.col("wpos"))
     fills = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, mix64, save, table
+from .common import forget, lean, mix64, save, table
 from .components import block_pairs, connected_components, roots, whole_groups
 
 THRESHOLD = 0.98
@@ -185,11 +185,11 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
     nodes = base.where("key2 is not null").groupBy("key2").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
     nodes = save(nodes, "nodes")
 
-    keyed = nodes.select("node", "label", "v").mapInArrow(_project(passes), "pass int, key bigint, node bigint, label string, v array<double>")
+    keyed = nodes.select("node", "label", "v").mapInArrow(lean(_project(passes)), "pass int, key bigint, node bigint, label string, v array<double>")
     order = ["pass", "label", "key", "node"]
     parts = max(passes, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = save(ordered.mapInArrow(_windows(threshold, window), _EDGE), "windows")
+    found = save(ordered.mapInArrow(lean(_windows(threshold, window)), _EDGE), "windows")
     # The rows before a seam are the tail of the last partition before it that has any rows.
     seams = found.where("node is not null")
     filled = seams.select("part").distinct().withColumn("next", F.lead("part").over(_order_of_parts()))
@@ -197,12 +197,12 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
     heads = seams.where("head").withColumn("seam", F.col("part").cast("bigint"))
     cols = ["seam", "tail", "place", "pass", "label", "node", "v"]
     met = tails.select(*cols).union(heads.select(*cols)).repartition("seam").sortWithinPartitions("seam", F.desc("tail"), "place")
-    edges = found.where("src is not null").select("src", "dst").union(met.mapInArrow(_seams(threshold, window), "src bigint, dst bigint"))
+    edges = found.where("src is not null").select("src", "dst").union(met.mapInArrow(lean(_seams(threshold, window)), "src bigint, dst bigint"))
     families = connected_components(edges)
 
     members = nodes.join(families, "node").select("node", "component", "copies", "v")
     met = block_pairs(members, "component", "node", BLOCK).repartition("task").sortWithinPartitions("task")
-    links = met.select("task", "node", "copies", "v", "block", "lo", "hi").mapInArrow(_exact(threshold), "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("links"))
+    links = met.select("task", "node", "copies", "v", "block", "lo", "hi").mapInArrow(lean(_exact(threshold)), "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.select("key2", "node", "copies").join(families, "node", "left").join(links, "node", "left")
     known = save(known.select("key2", F.coalesce("component", "node").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "known")
     forget(found)

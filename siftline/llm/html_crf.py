@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, without
+from .common import lean, table, without
 
 PAGES, EPOCHS, SEED = 700, 150, 7
 
@@ -455,7 +455,7 @@ def extract(df: DataFrame, page: str = "html", field: Field | None = None) -> Da
                 texts.append(main_text(p, field, memo))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*batch.schema.names, "text", "n_chars"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, mix64, runs, table, without
+from .common import fold_of, lean, mix64, runs, table, without
 
 DIM, ORDER = 1024, 3
 #: More learned languages than this is an error, not a silent cut: they go to the driver.
@@ -142,7 +142,7 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", dim: int = DIM)
         yield pa.RecordBatch.from_pydict({"lang": list(sums), "v": [v.astype(np.int64).tolist() for v in sums.values()]}, pa.schema([("lang", pa.string()), ("v", pa.list_(pa.int64()))]))
 
     rows = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    parts = rows.mapInArrow(add, "lang string, v array<bigint>").select("lang", F.posexplode("v").alias("i", "x"))
+    parts = rows.mapInArrow(lean(add), "lang string, v array<bigint>").select("lang", F.posexplode("v").alias("i", "x"))
     summed = parts.groupBy("lang", "i").agg(F.sum("x").alias("x"))
     per = summed.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
     found = sorted(((r.lang, [y.x for y in r.v]) for r in per.limit(MAX_LANGUAGES + 1).toLocalIterator()), key=lambda r: r[0])
@@ -168,7 +168,7 @@ def identify(df: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame
             names, scores = profiles.predict(batch.column(batch.schema.names.index(text)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
-    return df.mapInArrow(tell, schema)
+    return df.mapInArrow(lean(tell), schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

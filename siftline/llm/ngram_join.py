@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, mix64, runs, save, table
+from .common import forget, lean, mix64, runs, save, table
 from .components import block_pairs, connected_components, deal, pairs_within, roots, whole_groups
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), words_of(F.col(text)).alias("words"))
     keyed = rows.withColumn("node_", F.when(F.col("words") != "", F.unhex(F.md5("words"))))
-    signed = save(keyed.select("doc_id", "node_", "words").mapInArrow(_add_signature, "doc_id bigint, node_ binary, sig binary"), "signed")
+    signed = save(keyed.select("doc_id", "node_", "words").mapInArrow(lean(_add_signature), "doc_id bigint, node_ binary, sig binary"), "signed")
     # The key sorts by the smallest doc_id first, so that a component's smallest key names its class.
     order = F.unhex(F.lpad(F.hex(F.coalesce("first_id", F.lit(_LAST)).bitwiseXOR(F.lit(-_LAST - 1))), 16, "0"))
     nodes = signed.where("node_ is not null").groupBy("node_").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"))
@@ -224,14 +224,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sizes = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_")).where("n_ > 1")
     met = deal(bands.join(sizes, "bucket").join(nodes.select("node", "sig"), "node"), "bucket", "node", BUCKET_BLOCK)
     met = met.select("task", "node", "sig", "block", "lo", "hi").repartition("task").sortWithinPartitions("task")
-    families = connected_components(met.mapInArrow(_family_edges(threshold, tolerance), "src binary, dst binary"))
+    families = connected_components(met.mapInArrow(lean(_family_edges(threshold, tolerance)), "src binary, dst binary"))
 
     members = families.join(nodes.select("node", "node_", "first_id", "copies"), "node").select("node", F.col("component").alias("family"), F.col("node_").alias("k_"), F.coalesce("first_id", F.lit(_LAST)).alias("f_"), "copies")
     texts = keyed.where("node_ is not null").select("node_", F.coalesce("doc_id", F.lit(_LAST)).alias("id_"), "words")
     texts = texts.join(members, (F.col("node_") == F.col("k_")) & (F.col("id_") == F.col("f_"))).dropDuplicates(["node_", "id_"])
-    sets = texts.select("node", "family", "copies", "words").mapInArrow(_add_shingles, "node binary, family binary, copies bigint, shingles array<bigint>")
+    sets = texts.select("node", "family", "copies", "words").mapInArrow(lean(_add_shingles), "node binary, family binary, copies bigint, shingles array<bigint>")
     met = block_pairs(save(sets, "sets"), "family", "node", FAMILY_BLOCK).select("task", "node", "copies", "shingles", "block", "lo", "hi")
-    found = save(met.repartition("task").sortWithinPartitions("task").mapInArrow(_exact(threshold), "node binary, root binary, links bigint"), "links")
+    found = save(met.repartition("task").sortWithinPartitions("task").mapInArrow(lean(_exact(threshold)), "node binary, root binary, links bigint"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = connected_components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")))
 

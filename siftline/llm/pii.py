@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import runs, save, table, without
+from .common import lean, runs, save, table, without
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring, seeds a pattern needs, smoothing of its confidence, score from which an instance counts.
@@ -191,7 +191,7 @@ def find_personal_data(df: DataFrame, text: str = "text") -> DataFrame:
     df = without(df, ("base", "spans", "pii_key_"))
     t = F.coalesce(F.col(text), F.lit(""))
     keyed = df.withColumn("pii_key_", F.unhex(F.md5(t)))
-    scan = save(keyed.select("pii_key_", t.alias("t")).mapInArrow(_scan, _SCAN).withColumn("is_word", F.col("word").isNotNull()), "scan")
+    scan = save(keyed.select("pii_key_", t.alias("t")).mapInArrow(lean(_scan), _SCAN).withColumn("is_word", F.col("word").isNotNull()), "scan")
     words = save(scan.where("is_word and word != ''").groupBy(F.col("word").alias("pattern")).agg(F.sum("n").alias("total")), "words")
     # Equal texts are one text to the graph: a copied seed is no further evidence.
     texts = scan.where("not is_word and size(occ) > 0").dropDuplicates(["key"]).select("key", F.explode("occ").alias("o")).select("key", "o.*")

@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import save, table, without
+from .common import lean, save, table, without
 
 #: Where the model lies; never copied into the repository.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK, MEMO = 32_768, 200_000
+CHUNK, MEMO = 32_768, 100_000
 NEG = float("-inf")
 SPACE = "▁"
 #: A state: (piece id, or minus one minus the code point of a character without a piece; characters reached over).
@@ -568,13 +568,13 @@ def encode(df: DataFrame, text: str = "text", path: str = MODEL, chunk: int = CH
 
     keyed = giant.withColumn("key_", F.unhex(F.md5(text)))
     texts = keyed.select("key_", F.col(text).alias("t")).dropDuplicates(["key_"])
-    chunks = save(texts.mapInArrow(_cut(path, chunk), _PIECE).repartition("key", "idx"), "chunks")
-    matrices = chunks.mapInArrow(_matrices(path), "key binary, idx int, n int, m array<struct<s:bigint,so:int,x:bigint,xo:int,w:double>>")
-    states = matrices.repartition("key").sortWithinPartitions("key", "idx").mapInArrow(_scan, "key binary, idx int, s bigint, so int, x bigint, xo int")
-    traced = chunks.join(save(states, "states"), ["key", "idx"]).mapInArrow(_trace(path), "key binary, idx int, ids array<int>")
+    chunks = save(texts.mapInArrow(lean(_cut(path, chunk)), _PIECE).repartition("key", "idx"), "chunks")
+    matrices = chunks.mapInArrow(lean(_matrices(path)), "key binary, idx int, n int, m array<struct<s:bigint,so:int,x:bigint,xo:int,w:double>>")
+    states = matrices.repartition("key").sortWithinPartitions("key", "idx").mapInArrow(lean(_scan), "key binary, idx int, s bigint, so int, x bigint, xo int")
+    traced = chunks.join(save(states, "states"), ["key", "idx"]).mapInArrow(lean(_trace(path)), "key binary, idx int, ids array<int>")
     ids = traced.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idx", "ids"))), lambda x: x["ids"])).alias("token_ids"))
     long = keyed.join(save(ids, "ids"), F.col("key_") == F.col("key")).drop("key_", "key")
-    return small.mapInArrow(whole, schema).unionByName(long)
+    return small.mapInArrow(lean(whole), schema).unionByName(long)
 
 
 @lru_cache(2)
@@ -597,7 +597,7 @@ def decode(df: DataFrame, token_ids: str = "token_ids", path: str = MODEL, to: s
             texts = [None if ids is None else sp.decode(ids) for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, to])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, save, table, without
+from .common import fold_of, lean, save, table, without
 
 #: Labelled rows that are fitted on, at most.
 SAMPLE = 20_000
@@ -252,7 +252,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     if not n_pos or not n_neg:
         share = (n_pos + 1e-3) / (n_pos + n_neg + 2e-3)
         return Model({}, [float(np.log(share / (1 - share))), *[0.0] * (len(PATTERNS) + 1)])
-    stats = rows.where("toxic = 1").select("text").mapInArrow(_positive, "f string, n bigint, around array<bigint>")
+    stats = rows.where("toxic = 1").select("text").mapInArrow(lean(_positive), "f string, n bigint, around array<bigint>")
     stats = stats.groupBy("f").agg(F.sum("n").alias("pos"), F.size(F.array_distinct(F.flatten(F.collect_list("around")))).alias("contexts"))
     found = {r.f: r.pos for r in stats.where(F.col("contexts") >= CONTEXTS).select("f", "pos").toLocalIterator()}  # of at most `sample` texts
 
@@ -264,7 +264,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                     docs_[f] = docs_.get(f, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(docs_), pa.string()), pa.array(list(docs_.values()), pa.int64())], ["f", "n"])
 
-    against = {r.f: r.neg for r in rows.where("toxic = 0").select("text").mapInArrow(negative, "f string, n bigint").groupBy("f").agg(F.sum("n").alias("neg")).toLocalIterator()}
+    against = {r.f: r.neg for r in rows.where("toxic = 0").select("text").mapInArrow(lean(negative), "f string, n bigint").groupBy("f").agg(F.sum("n").alias("neg")).toLocalIterator()}
     weights = {}
     for f, pos in found.items():
         odds = float(np.log((pos + 0.5) / (n_pos + 1)) - np.log((against.get(f, 0) + 0.5) / (n_neg + 1)))
@@ -278,7 +278,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
     # Rows without a match differ in their label alone, so they are counted; the others are at most `sample`.
-    got = rows.mapInArrow(featured, "x array<double>, toxic int")
+    got = rows.mapInArrow(lean(featured), "x array<double>, toxic int")
     lists = got.where("x is not null").collect()
     empty = {r.toxic: r["n"] for r in got.where("x is null").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     x = np.zeros((len(lists) + sum(empty.values()), len(PATTERNS) + 2))
@@ -303,7 +303,7 @@ def toxicity(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             scores = model.scores(batch.column(batch.schema.names.index(text)).to_pylist(), lexicon)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
