@@ -153,9 +153,10 @@ def risky(pattern: str) -> bool:
 def compiles(spark, java: str) -> bool:
     """Whether the JVM compiles a pattern: a bad user rule is dropped, it must not fail the job."""
     from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
 
     try:
         spark._jvm.java.util.regex.Pattern.compile(java)
-    except Py4JJavaError:
+    except (Py4JJavaError, PySparkException):
         return False
     return True
