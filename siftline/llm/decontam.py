@@ -226,8 +226,8 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", **how) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns; null texts stay."""
-    found = matches(docs, items, text, **how).select("key").distinct()
-    return _keyed(docs, text).join(found, F.col("text_key_") == F.col("key"), "left_anti").select(*docs.columns)
+    found = matches(docs, items, text, **how).select(F.col("key").alias("found_key_")).distinct()
+    return _keyed(docs, text).join(found, F.col("text_key_") == F.col("found_key_"), "left_anti").select(*docs.columns)
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -324,9 +324,9 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> Iterator[tuple[str, list
 
         def boiler(kind: str, bare: bool) -> None:
             tag = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(kind, "div")
-            tag = tag if r.random() < 0.6 or bare else "div"
-            extra = attr(BOILER[kind]) if not bare and (tag == "div" or r.random() < 0.5) else ""
-            if bare and tag == "div":
+            tag = tag if r.random() < 0.6 or bare else r.choice(["div", "div", "section"])
+            extra = attr(BOILER[kind]) if not bare and (tag in ("div", "section") or r.random() < 0.5) else ""
+            if bare and tag in ("div", "section"):
                 kind, tag = "footer", "footer"
 
             def inside() -> None:
@@ -337,13 +337,14 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> Iterator[tuple[str, list
                 elif kind == "footer":
                     put("p", r.choice(["&copy; ", "&copy; 2024 ", "Copyright ", ""]) + words(1, 3) + " &middot; " + sentence(), 0)
                 elif kind == "aside":
-                    put("h3", words(1, 3), 0)
+                    if r.random() < 0.8:
+                        put("h3", words(1, 3), 0)
                     if r.random() < 0.6:
                         links(r.randint(2, 6))
                     else:
                         put("p", sentence(), 0)
                 elif kind == "ad":
-                    put(r.choice(["p", "div"]), sentence(), 0)
+                    put(r.choice(["p", "div"]), r.choice([sentence(), words(1, 4) + "."]), 0)
                 elif kind == "notice":
                     put("p", r.choice(["We use cookies. ", "", ""]) + sentence(), 0)
                     if r.random() < 0.5:
@@ -353,15 +354,19 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> Iterator[tuple[str, list
                     out.append('<input type="text" name="q">')
                     put("button", words(1, 2), 0)
                 elif kind == "comments":
-                    put("h3", words(1, 2), 0)
+                    put(r.choice(["h2", "h3", "h4"]), words(1, 2), 0)
+                    named = r.random() < 0.6
                     for _ in range(r.randint(1, 5)):
+                        if not named:
+                            put(r.choice(["p", "p", "li"]), prose(), 0)
+                            continue
                         one = r.choice(["div", "li", "article"])
                         wrap(one, attr("comment reply comment-body"), lambda: (put("p", words(1, 2), 0, attr("author user")), put("p", prose(), 0)))
                 else:
                     put("p", words(1, 5), 0)
 
             if kind in ("ad", "notice", "footer") and r.random() < 0.4:  # text right in the element
-                out.append(f"<{tag}{extra}>{sentence() if kind != 'footer' else '&copy; ' + words(1, 3) + ' &middot; ' + sentence()}</{tag}>")
+                out.append(f"<{tag}{extra}>{r.choice([sentence(), words(1, 4) + '.']) if kind != 'footer' else '&copy; ' + words(1, 3) + ' &middot; ' + sentence()}</{tag}>")
                 labels.append(0)
             else:
                 wrap(tag, extra, inside)
@@ -371,23 +376,27 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> Iterator[tuple[str, list
                 put("h1", words(2, 9).capitalize(), 1)
             for _ in range(r.randint(1, 14)):
                 x = r.random()
-                if x < 0.8:
+                if x < 0.74:
                     put("p", prose(), 1)
-                elif x < 0.86:
+                elif x < 0.8:
                     put(r.choice(["h2", "h3"]), words(1, 6).capitalize(), 1)
-                elif x < 0.9:
+                elif x < 0.84:
                     out.append("<ul>")
                     for _ in range(r.randint(2, 4)):
                         put("li", sentence(), 1)
                     out.append("</ul>")
-                elif x < 0.93:
+                elif x < 0.87:
                     wrap("blockquote", "", lambda: put("p", prose(), 1))
-                elif x < 0.95:
+                elif x < 0.89:
                     put("div", prose(), 1)
-                elif x < 0.98:
-                    boiler(r.choice(["ad", "form", "share", "aside"]), False)
+                elif x < 0.96:
+                    boiler(r.choice(["ad", "ad", "form", "share", "aside", "notice"]), False)
+                elif x < 0.975:
+                    put("p", prose(), 0, r.choice([" hidden", ' style="display:none"', ' aria-hidden="true"']))
                 else:
                     out.append("<script>var x = '<p>no</p>';</script><!-- <p>no</p> -->")
+            if r.random() < 0.15:
+                boiler("comments", False)
 
         bare = r.random() < 0.15
         kinds = ["nav", "header", "ad", "notice", "form", "aside"]

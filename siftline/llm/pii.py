@@ -209,8 +209,8 @@ def find_personal_data(df: DataFrame, text: str = "text") -> DataFrame:
     )
     ordered = F.array_sort(F.transform(F.concat("base", "more"), lambda x: F.struct(x["start"].alias("start"), rank[x["kind"]].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))))
     spans = spans.withColumn("more", F.when(F.col("more").isNotNull(), more).otherwise(F.expr("array()").cast("array<struct<kind:string,start:int,end:int>>")))
-    spans = save(spans.select("key", "base", F.transform(ordered, one).alias("spans")), "spans")
-    return keyed.join(spans, F.col("pii_key_") == F.col("key")).drop("pii_key_", "key")
+    spans = save(spans.select(F.col("key").alias("span_key_"), "base", F.transform(ordered, one).alias("spans")), "spans")
+    return keyed.join(spans, F.col("pii_key_") == F.col("span_key_")).drop("pii_key_", "span_key_")
 
 
 def written(spans: F.Column) -> F.Column:

@@ -572,8 +572,8 @@ def encode(df: DataFrame, text: str = "text", path: str = MODEL, chunk: int = CH
     matrices = chunks.mapInArrow(lean(_matrices(path)), "key binary, idx int, n int, m array<struct<s:bigint,so:int,x:bigint,xo:int,w:double>>")
     states = matrices.repartition("key").sortWithinPartitions("key", "idx").mapInArrow(lean(_scan), "key binary, idx int, s bigint, so int, x bigint, xo int")
     traced = chunks.join(save(states, "states"), ["key", "idx"]).mapInArrow(lean(_trace(path)), "key binary, idx int, ids array<int>")
-    ids = traced.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idx", "ids"))), lambda x: x["ids"])).alias("token_ids"))
-    long = keyed.join(save(ids, "ids"), F.col("key_") == F.col("key")).drop("key_", "key")
+    ids = traced.groupBy(F.col("key").alias("ids_key_")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idx", "ids"))), lambda x: x["ids"])).alias("token_ids"))
+    long = keyed.join(save(ids, "ids"), F.col("key_") == F.col("ids_key_")).drop("key_", "ids_key_")
     return small.mapInArrow(lean(whole), schema).unionByName(long)
 
 

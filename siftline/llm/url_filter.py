@@ -53,7 +53,7 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: st
     'unlisted'; a null URL, one without a host, or a null fetch time is
     'unknown'. A host entry covers its subdomains. Repeated captures all stay.
     """
-    df = without(captures, ("decision", "list", "pattern", "url_", "at_"))
+    df = without(captures, ("decision", "list", "pattern", "url_", "at_", "best_"))
     listed = intervals(entries)
     depth = listed.where("kind = 'prefix'").agg(F.coalesce(F.max(F.size(F.split("pattern", "/"))), F.lit(1)) - 1).first()[0]
     known = df.select(F.col(url).alias("url_"), F.col(fetched).alias("at_")).where("url_ is not null and at_ is not null").distinct()
@@ -66,11 +66,11 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: st
     active = keys.join(listed, (keys["kind"] == listed["kind"]) & (keys["pattern"] == listed["pattern"]) & (keys["at_"] >= listed["valid_from"]) & (listed["valid_to"].isNull() | (keys["at_"] < listed["valid_to"])))
     # The smallest of (-length, block before allow, list, pattern) decides.
     rank = F.struct((-F.length(listed["pattern"])).alias("n"), (listed["verdict"] != "block").alias("b"), listed["list"].alias("list"), listed["pattern"].alias("pattern"), listed["verdict"].alias("verdict"))
-    best = active.select("url_", "at_", rank.alias("r")).groupBy("url_", "at_").agg(F.min("r").alias("r"))
+    best = active.select("url_", "at_", rank.alias("r")).groupBy("url_", "at_").agg(F.min("r").alias("best_"))
     out = df.join(best, (F.col(url) == F.col("url_")) & (F.col(fetched) == F.col("at_")), "left")
     unknown = F.col(url).isNull() | F.col(fetched).isNull() | (host_of(F.col(url)) == "")
-    decision = F.when(unknown, F.lit("unknown")).otherwise(F.coalesce(F.col("r.verdict"), F.lit("unlisted")))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], decision.alias("decision"), F.col("r.list").alias("list"), F.col("r.pattern").alias("pattern"))
+    decision = F.when(unknown, F.lit("unknown")).otherwise(F.coalesce(F.col("best_.verdict"), F.lit("unlisted")))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], decision.alias("decision"), F.col("best_.list").alias("list"), F.col("best_.pattern").alias("pattern"))
 
 
 #: There is no list and no fetch time among the tables. A page is fetched page_id hours after this; each host and each
