@@ -33,9 +33,10 @@ from .common import lean, save, table, without
 
 #: Where the model lies; never copied into the repository.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK, MEMO = 32_768, 100_000
+CHUNK, MEMO = 32_768, 300_000
 NEG = float("-inf")
-SPACE = "▁"
+#: The model's space mark, and what stands for it inside: a plain space, so that Latin words take one byte a character.
+MARK, SPACE = "\u2581", " "
 #: A state: (piece id, or minus one minus the code point of a character without a piece; characters reached over).
 #: FREE is the state at a text's ends and where units meet: any piece may follow.
 State = tuple[int, int]
@@ -83,7 +84,7 @@ class Model:
         if self.kind not in (1, 2):
             raise ValueError("only unigram and BPE models have a lattice")
         n = sp.get_piece_size()
-        self.text = [sp.id_to_piece(i) for i in range(n)]
+        self.text = [sp.id_to_piece(i).replace(MARK, SPACE) for i in range(n)]
         self.score = [sp.get_score(i) for i in range(n)]
         self.bytes = {self.text[i]: i for i in range(n) if sp.is_byte(i)}
         self.unk = sp.unk_id()
@@ -93,8 +94,8 @@ class Model:
         #: No piece has a space mark after another character: then units stand alone.
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         #: Units by text: the latest, and those before them, so that frequent ones last.
-        self.memo: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         #: Lengths of the pieces, longest first, by the first four characters, or three, or two.
         by: dict[str, set[int]] = {}
         for piece in self.ids:
@@ -153,7 +154,7 @@ class Model:
         return 0.0 if ok else NEG
 
     def _fit_anew(self, a: int, b: int) -> bool:
-        if len(self.fits) > 4 * MEMO:
+        if len(self.fits) > 2 * MEMO:
             self.fits.clear()
         ok = self.fits[a << 24 | b] = self._stays(a, b)
         return ok
@@ -226,17 +227,17 @@ class Model:
             at = j
         return out[::-1]
 
-    def unit(self, text: str) -> list[int]:
+    def unit(self, text: str) -> tuple[int, ...]:
         """The pieces of a text that stands alone, remembered."""
         got = self.memo.get(text)
         if got is None:
             got = self.older.get(text)
             if got is None:
                 if self.kind == 2:
-                    got = self.first_path(text)
+                    got = tuple(self.first_path(text))
                 else:
                     _, back = self.forward(text, 0, len(text), FREE[0])
-                    got = self.trace(back, 0, len(text))
+                    got = tuple(self.trace(back, 0, len(text)))
             if len(text) <= 64:
                 if len(self.memo) >= MEMO:
                     self.older, self.memo = self.memo, {}
@@ -287,7 +288,7 @@ class Model:
     def pieces(self, text: str) -> list[int]:
         """The pieces of a whole normalised text."""
         if not self.cuts:
-            return self.unit(text)
+            return list(self.unit(text))
         out: list[int] = []
         memo = self.memo
         for u in _UNITS.findall(text):
@@ -296,7 +297,7 @@ class Model:
 
     def numbers(self, pieces: list[int]) -> list[int]:
         """Vocabulary ids: characters without a piece become byte pieces, or the unknown id."""
-        if all(i >= 0 for i in pieces):
+        if not pieces or min(pieces) >= 0:
             return pieces
         out: list[int] = []
         for i in pieces:
@@ -309,7 +310,7 @@ class Model:
         return out
 
     def normal(self, text: str) -> str:
-        return self.sp.normalize(text)
+        return self.sp.normalize(text).replace(MARK, SPACE)
 
     def states(self, text: str, cut: int) -> list[State]:
         """The states that the text allows at a cut: pieces over the character before it."""
@@ -327,10 +328,15 @@ class Model:
         """The first and last place in begin..end where a unit starts after another."""
         if not self.cuts:
             return None
-        found = [m.start() for m in re.finditer(f"(?<=[^{SPACE}]){SPACE}", text[max(0, begin - 1) : end + 1])]
-        found = [f + max(0, begin - 1) for f in found]
-        found = [f for f in found if begin <= f <= end]
-        return (found[0], found[-1]) if found else None
+        first = text.find(SPACE, max(begin, 1), end + 1)
+        while first > 0 and text[first - 1] == SPACE:
+            first = text.find(SPACE, first + 1, end + 1)
+        if first < 0:
+            return None
+        last = text.rfind(SPACE, first, end + 1)
+        while text[last - 1] == SPACE:
+            last = text.rfind(SPACE, first, last)
+        return first, last
 
     def exits(self, text: str, begin: int, cut: int, best: list, back: list) -> dict[State, tuple[float, int]]:
         """Weight and start of each state at `cut` that paths from `begin` reach."""
