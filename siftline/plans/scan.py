@@ -8,15 +8,18 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import djb2
 from ..functions.severity import meets
 from ..functions.text import as_text
 from ..operators.diff import new_detections
-from ..operators.known import known_bad, known_detections, not_known, with_hash
+from ..operators.known import LABEL
 from ..operators.match import match_files
-from ..operators.rules import RuleSet
+from ..operators.rules import Rule, RuleSet
 from ..operators.summary import severity_counts
 from ..sources.files import read_directory_tree
 
+#: The type that files on the blocklist get in the plan.
+KNOWN = "#known"
 COLUMNS = ["file", "severity", "detection", "line_number", "line_text", "decoded_content", "hash", "ext", "rule_id"]
 
 
@@ -50,7 +53,7 @@ def scan_files(files: DataFrame, rules: RuleSet, min_severity: str = "low", bad_
 
     files: file, ext, content (string or binary), and optionally archive and
     error. A listed hash makes one critical detection and ends the file's scan;
-    archive members are not hashed unless hash_members. The threshold hides rows
+    past any threshold, as it is critical; archive members are not hashed unless hash_members. The threshold hides rows
     and their severity counts, not detections_found. With `previous` only new
     detections remain. Nothing is hashed without a blocklist.
     """
@@ -59,23 +62,20 @@ def scan_files(files: DataFrame, rules: RuleSet, min_severity: str = "low", bad_
             files = files.withColumn(name, F.lit(None).cast("string"))
     errors = files.where("error is not null").select("file", "error")
     scanned = files.where(F.col("error").isNull() & F.col("content").isNotNull() & (F.length("content") > 0) & F.col("ext").isin(rules.types))
-    binary = dict(files.dtypes)["content"] == "binary"
-    rest, known = scanned, None
-    if bad_hashes is not None:
-        loose = scanned if hash_members else scanned.where("archive is null")
-        hashed = with_hash(loose if binary else loose.withColumn("content", F.encode("content", "UTF-8")), bits=bits)
-        known = known_detections(known_bad(hashed, bad_hashes)).withColumns({"ext": F.lit(None).cast("string"), "rule_id": F.lit(0)})
-        rest = not_known(hashed, bad_hashes).select("file", "ext", "content")
-        binary_rest = rest
-        if not hash_members:
-            members = scanned.where("archive is not null").select("file", "ext", "content")
-            binary_rest = rest.unionByName(members if binary else members.withColumn("content", F.encode("content", "UTF-8")))
-        rest, binary = binary_rest, True
-    text = rest.select("file", "ext", (as_text(F.col("content")) if binary else F.col("content")).alias("content"))
-    hits = match_files(text, rules, prefilter).withColumn("hash", F.lit(None).cast("string")).select(*COLUMNS)
+    text = as_text(F.col("content")) if dict(files.dtypes)["content"] == "binary" else F.col("content")
+    if bad_hashes is None:
+        content = scanned.select("file", "ext", text.alias("content"), F.lit(None).cast("string").alias("hash"))
+    else:
+        # One pass: a listed file becomes a one-line file of a type of its own, which one rule always hits.
+        raw = F.col("content") if dict(files.dtypes)["content"] == "binary" else F.encode("content", "UTF-8")
+        hashed = scanned.withColumn("hash", djb2(raw if hash_members else F.when(F.col("archive").isNull(), raw), bits))
+        listed = F.col("listed_").isNotNull()
+        flagged = hashed.join(bad_hashes.select("hash").distinct().withColumn("listed_", F.lit(True)), "hash", "left")
+        content = flagged.select("file", F.when(listed, KNOWN).otherwise(F.col("ext")).alias("ext"), F.when(listed, F.concat(F.lit("File hash: "), F.col("hash"))).otherwise(text).alias("content"), F.when(listed, F.col("hash")).alias("hash"))
+        rules = RuleSet((*rules.rules, Rule(KNOWN, 0, "", LABEL)))
+    known = F.col("ext") == KNOWN
+    hits = match_files(content, rules, prefilter).withColumns({"line_number": F.when(known, 0).otherwise(F.col("line_number")), "ext": F.when(~known, F.col("ext"))}).select(*COLUMNS)
     kept = hits.where(meets(F.col("severity"), min_severity))
-    if known is not None:
-        hits, kept = hits.unionByName(known.select(*COLUMNS)), kept.unionByName(known.select(*COLUMNS))
     if previous is not None:
         kept = new_detections(kept, previous)
     return ScanResult(kept, hits, scanned.select("file", "ext"), errors)
