@@ -144,6 +144,11 @@ def guard(pattern: str, least: int = GUARD_CHARS) -> str | None:
     return best if len(best) >= least else None
 
 
+def line_bound(pattern: str) -> bool:
+    """Whether a match in a line need not be one in the whole text: the pattern has anchors or looks around."""
+    return any(a.kind == "anchor" or (a.kind == "open" and a.text in ("(?=", "(?!")) for a in atoms(pattern))
+
+
 def risky(pattern: str) -> bool:
     """Whether Java may recurse for each turn of a repeated group: a long match could exhaust the stack."""
     found = atoms_java(_LIST.sub("x", pattern))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.decode import base64_payload, char_codes
+from ..functions.dialect import line_bound
 from ..functions.text import collapse_space, lines
 from .rules import Rule, RuleSet
 
@@ -27,13 +28,12 @@ def hits(rule: Rule, text: Column) -> Column:
 def may_hit(rules: tuple[Rule, ...], content: Column) -> Column:
     """Whether any rule can hit a line: its guard is somewhere in the content, or, without one, its pattern matches there.
 
-    No pattern is anchored to a line's ends if it has a guard or passes this
-    test; anchored ones count as possible.
+    A match in a line is a match in the content unless the pattern is bound to
+    the line; such rules without a guard count as possible.
     """
     guards = sorted({r.guard for r in rules if r.guard})
-    bare = [r for r in rules if not r.guard]
     tests = [F.contains(content, F.lit(g)) for g in guards]
-    tests += [F.lit(True) if any(c in r.pattern for c in "^$") and r.pattern.replace("[^", "").strip("^$") != r.pattern.replace("[^", "") else F.rlike(content, F.lit(r.java)) for r in bare]
+    tests += [F.lit(True) if line_bound(r.pattern) else F.rlike(content, F.lit(r.java)) for r in rules if not r.guard]
     return reduce(or_, tests, F.lit(False))
 
 

@@ -113,9 +113,9 @@ def test_prefilter_and_join_agree(spark):
     rel = spark.createDataFrame([(r.file_type, r.rule_id, r.java, r.detection, r.severity) for r in RULES.rules], "file_type string, rule_id int, java string, detection string, severity string")
     c = {tuple(r) for r in match.match_by_join(match.number_lines(df), rel).select(cols).collect()}
     assert a == b == c and a
-    anchored = RuleSet((Rule(".lua", 1, "^foo$", "x"),))
-    df = spark.createDataFrame([("f", ".lua", "bar\nfoo\nbaz")], "file string, ext string, content string")
-    assert [r.line_number for r in match.match_files(df, anchored).collect()] == [2]
+    for bound in ("^foo$", "(x|^foo$)", r"fo+(?!\s*baz)", "[f]oo$"):
+        df = spark.createDataFrame([("f", ".lua", "bar\nfoo\nbaz")], "file string, ext string, content string")
+        assert [r.line_number for r in match.match_files(df, RuleSet((Rule(".lua", 1, bound, "x"),))).collect()] == [2]
 
 
 def test_threshold_and_summary(spark):
