@@ -91,6 +91,8 @@ class Model:
         self.ids = {self.text[i]: i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
         self.longest = max(map(len, self.ids))
         self.unk_score = min((self.score[i] for i in self.ids.values()), default=0.0) - 10
+        #: Neighbours inside pieces.
+        self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         #: No piece has a space mark after another character: then units stand alone.
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         #: Units by text: the latest, and those before them, so that frequent ones last.
@@ -233,7 +235,10 @@ class Model:
         if got is None:
             got = self.older.get(text)
             if got is None:
-                if self.kind == 2:
+                parts = self.breaks(text)
+                if len(parts) > 1:
+                    got = tuple([i for p in parts for i in self.unit(p)])
+                elif self.kind == 2:
                     got = tuple(self.first_path(text))
                 else:
                     _, back = self.forward(text, 0, len(text), FREE[0])
@@ -244,6 +249,16 @@ class Model:
                 self.memo[text] = got
         return got
 
+    def breaks(self, text: str) -> list[str]:
+        """A text cut where two characters meet that no piece holds side by side: no path crosses there, in any model."""
+        inside, out, at = self.inside, [], 0
+        for k in range(1, len(text)):
+            if text[k - 1 : k + 1] not in inside:
+                out.append(text[at:k])
+                at = k
+        out.append(text[at:])
+        return out
+
     def first_path(self, text: str) -> list[int]:
         """The first path of weight 0 through a BPE lattice, longest pieces first.
 
