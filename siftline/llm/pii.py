@@ -11,7 +11,9 @@ A common word stands before anything and so never becomes a pattern; a cue such
 as "tel:" does. Accepted occurrences become added spans; base spans stay.
 
 Words are counted over the whole corpus (a table of words, summed in Spark); only
-strings with a digit or "@" leave the scan as occurrences.
+strings with a digit or "@" leave the scan as occurrences. Both count each distinct
+text once: the words of a text with k equal copies weigh 1/k in every copy, so
+copies change no confidence.
 """
 
 from __future__ import annotations
@@ -121,37 +123,38 @@ def occurrences(text: str, base: list[tuple[str, int, int]], tokens: list[re.Mat
     return out
 
 
-_SCAN = "key binary, base array<struct<kind:string,start:int,end:int>>, occ array<struct<kind:string,inst:string,start:int,end:int,left:string,right:string,seed:boolean>>, word string, n bigint"
+_SCAN = "key binary, base array<struct<kind:string,start:int,end:int>>, occ array<struct<kind:string,inst:string,start:int,end:int,left:string,right:string,seed:boolean>>, word string, n bigint, copies bigint"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with the spans of each text, and rows with counts of words."""
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
     occ = pa.struct([("kind", pa.string()), ("inst", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("left", pa.string()), ("right", pa.string()), ("seed", pa.bool_())])
-    schema = pa.schema([("key", pa.binary()), ("base", pa.list_(span)), ("occ", pa.list_(occ)), ("word", pa.string()), ("n", pa.int64())])
-    raw: Counter[str] = Counter()
+    schema = pa.schema([("key", pa.binary()), ("base", pa.list_(span)), ("occ", pa.list_(occ)), ("word", pa.string()), ("n", pa.int64()), ("copies", pa.int64())])
+    raw: dict[int, Counter[str]] = {}
 
     def words() -> pa.RecordBatch:
-        counts: Counter[str] = Counter()
-        for token, n in raw.items():
-            counts[cue(token)] += n
+        counts: Counter[tuple[str, int]] = Counter()
+        for copies, tokens in raw.items():
+            for token, n in tokens.items():
+                counts[cue(token), copies] += n
         raw.clear()
         k = len(counts)
-        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(span)), pa.nulls(k, pa.list_(occ)), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(span)), pa.nulls(k, pa.list_(occ)), pa.array([w for w, _ in counts], pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array([c for _, c in counts], pa.int64())], schema=schema)
 
     for batch in batches:
-        keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        keys, texts, copies = (batch.column(i).to_pylist() for i in range(3))
         for a, b in runs([len(t) for t in texts], 2_000_000):
             bases, occs = [], []
-            for text in texts[a:b]:
-                raw.update(text.split())
+            for text, k in zip(texts[a:b], copies[a:b], strict=True):
+                raw.setdefault(k, Counter()).update(text.split())
                 base = base_spans(text)
                 digit = base or "@" in text or "(at)" in text or "[at]" in text or _DIGIT.search(text)
                 occs.append([dict(zip(occ.names, x, strict=True)) for x in occurrences(text, base, list(_WORD.finditer(text)))] if digit else [])
                 bases.append([dict(zip(span.names, x, strict=True)) for x in base])
             k = b - a
-            yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.binary()), pa.array(bases, pa.list_(span)), pa.array(occs, pa.list_(occ)), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64())], schema=schema)
-            if len(raw) > WORDS_HELD:
+            yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.binary()), pa.array(bases, pa.list_(span)), pa.array(occs, pa.list_(occ)), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], schema=schema)
+            if sum(map(len, raw.values())) > WORDS_HELD:
                 yield words()
     yield words()
 
@@ -191,8 +194,10 @@ def find_personal_data(df: DataFrame, text: str = "text") -> DataFrame:
     df = without(df, ("base", "spans", "pii_key_"))
     t = F.coalesce(F.col(text), F.lit(""))
     keyed = df.withColumn("pii_key_", F.unhex(F.md5(t)))
-    scan = save(keyed.select("pii_key_", t.alias("t")).mapInArrow(lean(_scan), _SCAN).withColumn("is_word", F.col("word").isNotNull()), "scan")
-    words = save(scan.where("is_word and word != ''").groupBy(F.col("word").alias("pattern")).agg(F.sum("n").alias("total")), "words")
+    copies = save(keyed.groupBy(F.col("pii_key_").alias("copy_key_")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
+    counted = keyed.select("pii_key_", t.alias("t")).join(copies, F.col("pii_key_") == F.col("copy_key_"), "left")
+    scan = save(counted.select("pii_key_", "t", F.coalesce("copies", F.lit(1)).alias("copies")).mapInArrow(lean(_scan), _SCAN).withColumn("is_word", F.col("word").isNotNull()), "scan")
+    words = save(scan.where("is_word and word != ''").groupBy(F.col("word").alias("pattern")).agg(F.round(F.sum(F.col("n") / F.col("copies"))).cast("bigint").alias("total")), "words")
     # Equal texts are one text to the graph: a copied seed is no further evidence.
     texts = scan.where("not is_word and size(occ) > 0").dropDuplicates(["key"]).select("key", F.explode("occ").alias("o")).select("key", "o.*")
     texts = save(texts, "occurrences")

@@ -252,6 +252,12 @@ def test_contexts_find_unseen_identifiers(spark):
     assert {r.text for r in pii.redact(found).where("doc_id in (5, 100)").collect()} == {"w5 contact tel: [PHONE] thanks", "noise here tel: [PHONE] thanks"}
 
 
+def test_copies_of_a_text_do_not_weaken_its_cues(spark):
+    rows = [(i, f"w{i} contact tel: +1 (555) 555-{1000 + i} thanks") for i in range(30)] + [(100, "noise here tel: 555.01.4321 thanks")] * 300
+    found = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).where("doc_id = 100").collect()
+    assert len(found) == 300 and all([tuple(s) for s in r.spans] == [("phone", 16, 27)] for r in found)
+
+
 def test_personal_data_odd_rows(spark, odd):
     rows = pii.find_personal_data(odd).collect()
     assert len(rows) == len(ODD) and all(r.base == [] for r in rows)
