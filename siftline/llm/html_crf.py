@@ -38,6 +38,8 @@ CLOSES_P = BLOCK - frozenset("button label option optgroup legend".split())
 #: A start tag ends these open elements, up to the nearest of the second set.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Words of boilerplate texts that a class name may not give away.
+#: Where a raw element ends; searched in the page itself, as lower() can change its length.
+_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 CUES = re.compile(r"©|\(c\)|copyright|all rights reserved|cookie|subscribe|newsletter|sign in|log in|advert|sponsored|privacy policy|terms of", re.I)
 
 _TAG = re.compile(r"<(?:(!--)|(/?)([A-Za-z][^\s/>]*)|([!?]))")
@@ -124,7 +126,6 @@ def blocks(page: str | None) -> list[Block]:
                 if t in BLOCK and t != "p":
                     return
 
-    low = None
     while (m := _TAG.search(page, at)) is not None:
         text(at, m.start())
         if m[1]:
@@ -150,10 +151,9 @@ def blocks(page: str | None) -> list[Block]:
                     break  # an inline end tag does not end blocks
             continue
         if tag in RAW:
-            low = low or page.lower()
             if page[end - 2] != "/" or tag not in ("svg", "math"):
-                k = low.find(f"</{tag}", end)
-                at = len(page) if k < 0 else page.find(">", k) + 1 or len(page)
+                k = _RAW_END[tag].search(page, end)
+                at = page.find(">", k.start()) + 1 or len(page) if k else len(page)
             continue
         if tag == "br":
             parts.append(" ")

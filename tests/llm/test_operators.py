@@ -312,6 +312,12 @@ def test_main_text(page, want):
     assert html_crf.main_text(page, html_crf.learned()).replace(re.sub("<.*?>", "", P), "P") == want
 
 
+@pytest.mark.parametrize("n", [1, 60])
+def test_raw_elements_end_at_their_end_tag(n):
+    page = f"<article><p>{'İ' * n} en.</p><script>x</SCRIPT><b>ab</b><p>last words of all.</p></article>"
+    assert "".join(b.text for b in html_crf.blocks(page)) == "İ" * n + " en.ablast words of all."
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='a\"", "<", ">", "<a href=", "x y", "&amp", "<!--", "-->", "<br/>", "</div>", "<script>", "</script>", "<li>", "\"", "'", "<table><tr><td>", "<p", "é"]), max_size=40).map("".join))
 def test_any_markup_is_read(page):
