@@ -182,7 +182,7 @@ def path_features(path: tuple[str, ...]) -> list[str]:
 def text_features(text: str, linked: int) -> list[str]:
     n, words = len(text), text.count(" ") + 1
     out = [f"len:{min(8, n.bit_length())}", f"words:{min(6, words.bit_length())}", f"link:{min(4, 5 * linked // max(n, 1))}", f"end:{'.' if text[-1] in '.!?…。:»”' else 'x'}", f"stops:{min(4, text.count('. ') + text.count(', '))}"]
-    if CUES.search(text[:400] if n < 4000 else text[:200]):
+    if CUES.search(text):
         out.append("cue")
     return out
 

@@ -312,6 +312,11 @@ def test_main_text(page, want):
     assert html_crf.main_text(page, html_crf.learned()).replace(re.sub("<.*?>", "", P), "P") == want
 
 
+@pytest.mark.parametrize("n", [100, 450, 5000])
+def test_cues_anywhere_in_a_block(n):
+    assert "cue" in html_crf.text_features("x" * n + " see our privacy policy", 0) and "cue" not in html_crf.text_features("x" * n, 0)
+
+
 @pytest.mark.parametrize("n", [1, 60])
 def test_raw_elements_end_at_their_end_tag(n):
     page = f"<article><p>{'İ' * n} en.</p><script>x</SCRIPT><b>ab</b><p>last words of all.</p></article>"
