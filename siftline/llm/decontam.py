@@ -7,6 +7,10 @@ item and document, equal fillers of the item must stay equal in the document and
 different ones different. So a question with other numbers and names is found,
 and text that only shares a frame of placeholders is not.
 
+A window with fewer than LITERALS literal tokens is found by its own words and
+fillers. Its bare frame counts too, but only along an alignment that some other
+window has already found. Coverage is of all windows of an item.
+
 The scan is byte arithmetic in numpy: only windows that hit leave it. The hashes
 of the benchmark go to the workers in slices of at most SLICE, one scan for each
 slice, so what is broadcast has a bound whatever the size of the benchmark.
@@ -17,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -95,10 +100,18 @@ def template(text: str) -> tuple[str, list[str], list[str], list[str]]:
     return text.lower(), nums, names, units
 
 
-def windows(templates: list[str], sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+@lru_cache(100_000)
+def _filler(kind: int, word: str) -> int:
+    return int.from_bytes(blake2b(bytes([kind]) + word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def windows(templates: list[str], sizes: list[int], fillers: tuple[list[str], ...] | None = None, weak: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each window size: hashes, texts, token positions and whether enough tokens are literal.
 
     A window's hash depends on its words only, not on what stands between them.
+    Windows with too few literal tokens take the hash of their words and fillers
+    (number, name and unit slots of all templates in order), or are left out
+    without these; with `weak`, they alone come, by their frames.
     """
     b = np.frombuffer("\n".join(templates).encode("utf-8", "surrogatepass"), np.uint8)
     word = _WORD[b]
@@ -112,6 +125,7 @@ def windows(templates: list[str], sizes: list[int]) -> Iterator[tuple[int, np.nd
     h = mix64((prefix[end] - prefix[start]) * _powers[1][start])
     slot = (b[start] < 4).astype(np.int64) if len(start) else np.zeros(0, np.int64)
     slots, first = np.r_[0, np.cumsum(slot)], np.r_[0, np.cumsum(np.bincount(doc, minlength=len(templates)))]
+    filled = None
     for size in sizes:
         m = max(0, len(h) - size + 1)
         total = np.zeros(m, np.uint64)
@@ -119,8 +133,19 @@ def windows(templates: list[str], sizes: list[int]) -> Iterator[tuple[int, np.nd
             total += h[k : k + m] * _PLACES[k]
         ok = doc[:m] == doc[size - 1 : size - 1 + m] if m else np.zeros(0, bool)
         literal = size - (slots[size : size + m] - slots[:m]) >= min(LITERALS, size)
-        keep = np.flatnonzero(ok & literal)
-        yield size, mix64(total[keep] + np.uint64(size)).view(np.int64), doc[keep], keep - first[doc[keep]], b
+        keep = np.flatnonzero(ok & (literal ^ weak))
+        out = mix64(total[keep] + np.uint64(size + (1 << 21) * weak))
+        few = np.flatnonzero(ok & ~literal) if fillers is not None and not weak else keep[:0]
+        if len(few):
+            if filled is None:
+                filled = h.copy()
+                for kind, words in enumerate(fillers, 1):
+                    filled[b[start] == kind] = np.array([_filler(kind, x) for x in words], np.uint64)
+            exact = np.zeros(len(few), np.uint64)
+            for k in range(size):
+                exact += filled[few + k] * _PLACES[k]
+            keep, out = np.r_[keep, few], np.r_[out, mix64(exact + np.uint64(size + (1 << 20)))]
+        yield size, out.view(np.int64), doc[keep], keep - first[doc[keep]], b
 
 
 _HIT = pa.schema([("key", pa.binary()), ("hash", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.string())), ("length", pa.int32())])
@@ -135,12 +160,14 @@ def _slots(text: str, positions: list[tuple[int, int]]) -> list[list[str]]:
     return [[x for x in filled[p : p + size] if x is not None] for p, size in positions]
 
 
-def _emit(keys: list, texts: list[str], sizes: list[int], wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _emit(keys: list, texts: list[str], sizes: list[int], wanted: np.ndarray | None, exact: bool = True, weak: bool = False) -> Iterator[pa.RecordBatch]:
     for a, b in runs([len(t) for t in texts], CHUNK_CHARS):
-        templates = [template(t)[0].replace("\n", " ") for t in texts[a:b]]
+        made = [template(t) for t in texts[a:b]]
+        templates = [t[0].replace("\n", " ") for t in made]
+        fillers = tuple([x for t in made for x in t[kind]] for kind in (1, 2, 3)) if exact else None
         hits: dict[int, list[tuple[int, int, int]]] = {}
         counts = [0] * (b - a)
-        for size, h, doc, pos, _ in windows(templates, sizes):
+        for size, h, doc, pos, _ in windows(templates, sizes, fillers, weak):
             if size == WINDOW or len(sizes) == 1:
                 counts = np.bincount(doc, minlength=b - a).tolist()
             if wanted is not None:
@@ -159,20 +186,24 @@ def _tokens_of(text: str) -> int:
 
 
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(item_id, hash, wpos, item_slots, size, n_windows) of the benchmark; an item under WINDOW tokens is one window."""
+    """(item_id, hash, wpos, item_slots, size, n_windows, weak) of the benchmark; an item under WINDOW tokens is one window.
+
+    A window with too few literal tokens comes twice: by its fillers, and as a frame (weak).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                size = min(WINDOW, _tokens_of(t))
+                tokens = _tokens_of(t)
+                size = min(WINDOW, tokens)
                 if size < LITERALS:
                     continue
-                for out in _emit([b""], [t], [size], None):
+                for weak, out in ((weak, out) for weak in (False, True) for out in _emit([b""], [t], [size], None, weak=weak)):
                     n = out.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array([item] * n, pa.int64()), out.column(1), out.column(2), out.column(3), pa.array([size] * n, pa.int32()), pa.array([n] * n, pa.int32())], ["item_id", "hash", "wpos", "item_slots", "size", "n_windows"])
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * n, pa.int64()), out.column(1), out.column(2), out.column(3), pa.array([size] * n, pa.int32()), pa.array([tokens - size + 1] * n, pa.int32()), pa.array([weak] * n)], ["item_id", "hash", "wpos", "item_slots", "size", "n_windows", "weak"])
 
     rows = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).alias("text")).where("text is not null and item_id is not null").distinct()
-    return rows.mapInArrow(lean(run), "item_id bigint, hash bigint, wpos int, item_slots array<string>, size int, n_windows int")
+    return rows.mapInArrow(lean(run), "item_id bigint, hash bigint, wpos int, item_slots array<string>, size int, n_windows int, weak boolean")
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
@@ -183,23 +214,38 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
     """(key, item_id, n_matched, n_windows, coverage, exact_slots) by the md5 of the texts that hold an item."""
     spark = docs.sparkSession
     bench = save(item_windows(items, item_id, item_text), "bench")
-    shape = bench.agg(F.approx_count_distinct("hash").alias("n"), F.collect_set("size").alias("sizes")).first()
-    sizes, slices = sorted(shape.sizes), max(1, -(-int(shape.n * 1.1) // SLICE))
+    shape = {r.weak: r for r in bench.groupBy("weak").agg(F.approx_count_distinct("hash").alias("n"), F.collect_set("size").alias("sizes")).collect()}
     texts = docs.select(F.col(text).alias("t")).where("t is not null").select(F.unhex(F.md5("t")).alias("key"), "t")
-    hits = spark.createDataFrame([], "key binary, hash bigint, pos int, slots array<string>")
-    for k in range(slices if sizes else 0):
-        part = bench.where(F.pmod(F.col("hash"), F.lit(slices)) == k).select("hash").distinct()
-        wanted = spark.sparkContext.broadcast(np.array(sorted(r.hash for r in part.toLocalIterator()), np.int64))
-
-        def run(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield from _emit(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sizes, wanted.value)
-
-        hits = hits.union(texts.mapInArrow(lean(run), "key binary, hash bigint, pos int, slots array<string>, length int").drop("length"))
-    hits = save(hits.distinct(), "hits")
-    met = hits.join(bench, "hash").withColumn("diag", F.col("pos") - F.col("wpos"))
+
+    def scanned(texts: DataFrame, weak: bool) -> DataFrame:
+        hits = spark.createDataFrame([], "key binary, hash bigint, pos int, slots array<string>")
+        sizes, slices = (sorted(shape[weak].sizes), max(1, -(-int(shape[weak].n * 1.1) // SLICE))) if weak in shape else ([], 0)
+        exact = True in shape and not weak
+        for k in range(slices):
+            part = bench.where(F.col("weak") == weak).where(F.pmod(F.col("hash"), F.lit(slices)) == k).select("hash").distinct()
+            wanted = spark.sparkContext.broadcast(np.array(sorted(r.hash for r in part.toLocalIterator()), np.int64))
+
+            def run(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    yield from _emit(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sizes, wanted.value, exact, weak)
+
+            hits = hits.union(texts.mapInArrow(lean(run), "key binary, hash bigint, pos int, slots array<string>, length int").drop("length"))
+        return save(hits.distinct(), "hits")
+
+    met = scanned(texts, False).join(bench.where("not weak"), "hash").withColumn("diag", F.col("pos") - F.col("wpos"))
+    literal = F.col("size") - F.size("item_slots") >= F.least(F.lit(LITERALS), F.col("size"))
+    met = met.select("key", "item_id", "diag", "wpos", "n_windows", "item_slots", "slots", F.when(literal, 0).otherwise(1).alias("kind"))
+    if True in shape:
+        # Frames count only where an alignment is found, so a frame of figures alone finds nothing and joins with nothing.
+        met = save(met, "met")
+        frames = bench.where("weak").select("item_id", "hash", "wpos", "item_slots", "n_windows", F.lit(2).alias("kind"))
+        due = met.select("key", "item_id", "diag").distinct().join(frames, "item_id").withColumn("pos", F.col("diag") + F.col("wpos"))
+        found = scanned(texts.join(due.select("key").distinct(), "key", "left_semi"), True)
+        met = met.union(due.join(found, ["key", "hash", "pos"]).select(*met.columns))
+        # Windows of figures add to what the others cover; where their slots disagree, the others still stand.
+        met = met.withColumn("kind", F.explode(F.sequence("kind", F.lit(2))))
     fills = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
-    aligned = met.groupBy("key", "item_id", "diag").agg(
+    aligned = met.groupBy("key", "item_id", "diag", "kind").agg(
         F.collect_set("wpos").alias("wpos"), F.first("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(fills))).alias("fills")
     )
     one_to_one = (F.size(F.array_distinct(F.transform("fills", lambda x: x["i"]))) == F.size("fills")) & (F.size(F.array_distinct(F.transform("fills", lambda x: x["d"]))) == F.size("fills"))
@@ -215,7 +261,9 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
     A pair is reported if windows on alignments with consistent slots cover at
     least `coverage` of the item's windows; exact_slots tells whether all their
-    fillers are the item's own. Items of fewer than three template tokens have
+    fillers are the item's own. Windows of figures, names and units count by
+    their fillers, or as frames beside another window of the same alignment.
+    Items of fewer than three template tokens have
     no window and are never found. Null and empty texts hold nothing. Repeated
     documents are all reported, repeated items once. Other columns are ignored.
     """

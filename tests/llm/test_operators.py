@@ -356,6 +356,14 @@ def test_literal_items_are_all_found(spark):
     assert got == {(i, i) for i in range(30)}
 
 
+def test_items_of_figures(spark):
+    items = [(1, "Compute 12 + 45."), (2, "Solve 3x + 5 = 20 for x"), (3, "10 20 30 40 50 60"), (4, "they bought red apples and green pears at some market, 5 6 5 6 5 6 5")]
+    docs = [(1, "Now compute 12 + 45. Then rest."), (2, "Now compute 13 + 45. Then rest."), (3, "Please solve 3x + 5 = 20 for x today."), (4, "Please solve 4x + 6 = 21 for x today."), (5, "we plot x 7, 9 for x in here"), (6, "it says 10 20 30 40 50 60 there"), (7, "it says 11 20 30 40 50 61 there"), (8, "they bought red apples and green pears at some market, 5 6 7 8 9 1 2")]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (3, 2), (4, 2), (6, 3), (8, 4)} and all(r.coverage == 1 for r in got if r.doc_id != 8)
+    assert {r.doc_id: r.exact_slots for r in got} == {1: True, 3: True, 4: False, 6: True, 8: True}
+
+
 def test_slices_of_the_benchmark_agree(spark, monkeypatch):
     r = random.Random(7)
     items = spark.createDataFrame([(i, text_of(r, 20)) for i in range(20)], "item_id long, text string")
