@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +79,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def int_lists(column: pa.ListArray) -> list[list[int] | None]:
+    """The rows of a list column of numbers; to_pylist() would make a scalar object of every number."""
+    flat = column.flatten()
+    if flat.null_count:
+        return column.to_pylist()
+    values = flat.to_numpy(zero_copy_only=False).tolist()
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+    out: list[list[int] | None] = [values[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    if column.null_count:
+        for i in np.flatnonzero(column.is_null().to_numpy(zero_copy_only=False)).tolist():
+            out[i] = None
+    return out
+
+
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """The same step of mapInArrow, with a worker that gives freed memory back when a task ends.
 
@@ -92,8 +107,6 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
             import ctypes
             import gc
 
-            import pyarrow as pa
-
             gc.collect()
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -29,11 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, save, table, without
+from .common import forget, int_lists, lean, save, table, without
 
 #: Where the model lies; never copied into the repository.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK, MEMO = 32_768, 300_000
+#: Chunks whose matrices one task combines; the spans of a text are combined by the next.
+SPAN = 64
 NEG = float("-inf")
 #: The model's space mark, and what stands for it inside: a plain space, so that Latin words take one byte a character.
 MARK, SPACE = "\u2581", " "
@@ -495,11 +497,11 @@ def prefixes(matrices: list[Matrix]) -> list[Matrix]:
     return [matrices[0] if k == 0 else pairs[k // 2] if k % 2 else compose(pairs[k // 2 - 1], matrices[k]) for k in range(len(matrices))]
 
 
-def resolve(matrices: list[Matrix]) -> list[tuple[State, State]]:
-    """Entry and exit state of every chunk on the best path from FREE to FREE."""
-    done, state, out = prefixes(matrices), FREE, []
+def resolve(matrices: list[Matrix], entry: State = FREE, exit_: State = FREE) -> list[tuple[State, State]]:
+    """Entry and exit state of every chunk on the best path from one state to another."""
+    done, state, out = prefixes(matrices), exit_, []
     for k in range(len(matrices) - 1, -1, -1):
-        entries = [(FREE, 0.0)] if k == 0 else [(x, w) for (s, x), w in done[k - 1].items() if s == FREE]
+        entries = [(entry, 0.0)] if k == 0 else [(x, w) for (s, x), w in done[k - 1].items() if s == entry]
         best = max((w + matrices[k].get((s, state), NEG), s) for s, w in entries)
         if best[0] == NEG:
             raise ValueError("no path through the lattice")
@@ -544,16 +546,48 @@ def _matrices(path: str):
     return run
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _matrix_of(edges: list[dict]) -> Matrix:
+    return {((e["s"], e["so"]), (e["x"], e["xo"])): e["w"] for e in edges}
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One matrix for each span of consecutive chunks, from rows sorted by (key, idx)."""
     held: list[Matrix] = []
     for batch in batches:
         for r in batch.to_pylist():
-            held.append({((e["s"], e["so"]), (e["x"], e["xo"])): e["w"] for e in r["m"]})
-            if r["idx"] == r["n"] - 1:
-                path = resolve(held)
+            held.append(_matrix_of(r["m"]))
+            if r["idx"] == r["n"] - 1 or r["idx"] % SPAN == SPAN - 1:
+                product = prefixes(held)[-1]
                 held = []
-                k = len(path)
-                yield pa.RecordBatch.from_arrays([pa.array([r["key"]] * k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([s[0] for s, _ in path], pa.int64()), pa.array([s[1] for s, _ in path], pa.int32()), pa.array([x[0] for _, x in path], pa.int64()), pa.array([x[1] for _, x in path], pa.int32())], ["key", "idx", "s", "so", "x", "xo"])
+                rows = [{"s": s[0], "so": s[1], "x": x[0], "xo": x[1], "w": w} for (s, x), w in product.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([r["key"]], pa.binary()), pa.array([r["idx"] // SPAN], pa.int32()), pa.array([(r["n"] - 1) // SPAN + 1], pa.int32()), pa.array([rows], pa.list_(_STATE))], ["key", "idx", "n", "m"])
+
+
+def _path_rows(key: bytes, first: int, path: list[tuple[State, State]]) -> pa.RecordBatch:
+    k = len(path)
+    return pa.RecordBatch.from_arrays([pa.array([key] * k, pa.binary()), pa.array(range(first, first + k), pa.int32()), pa.array([s[0] for s, _ in path], pa.int64()), pa.array([s[1] for s, _ in path], pa.int32()), pa.array([x[0] for _, x in path], pa.int64()), pa.array([x[1] for _, x in path], pa.int32())], ["key", "idx", "s", "so", "x", "xo"])
+
+
+def _between_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entry and exit state of each span of a text."""
+    held: list[Matrix] = []
+    for batch in batches:
+        for r in batch.to_pylist():
+            held.append(_matrix_of(r["m"]))
+            if r["idx"] == r["n"] - 1:
+                path, held = resolve(held), []
+                yield _path_rows(r["key"], 0, path)
+
+
+def _inside_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entry and exit state of each chunk, from those of its span."""
+    held: list[Matrix] = []
+    for batch in batches:
+        for r in batch.to_pylist():
+            held.append(_matrix_of(r["m"]))
+            if r["idx"] == r["n"] - 1 or r["idx"] % SPAN == SPAN - 1:
+                path, held = resolve(held, (r["s"], r["so"]), (r["x"], r["xo"])), []
+                yield _path_rows(r["key"], r["idx"] - len(path) + 1, path)
 
 
 def _trace(path: str):
@@ -590,9 +624,17 @@ def encode(df: DataFrame, text: str = "text", path: str = MODEL, chunk: int = CH
     keyed = giant.withColumn("key_", F.unhex(F.md5(text)))
     texts = keyed.select("key_", F.col(text).alias("t")).dropDuplicates(["key_"])
     chunks = save(texts.mapInArrow(lean(_cut(path, chunk)), _PIECE).repartition("key", "idx"), "chunks")
-    matrices = chunks.mapInArrow(lean(_matrices(path)), "key binary, idx int, n int, m array<struct<s:bigint,so:int,x:bigint,xo:int,w:double>>")
-    states = matrices.repartition("key").sortWithinPartitions("key", "idx").mapInArrow(lean(_scan), "key binary, idx int, s bigint, so int, x bigint, xo int")
-    traced = chunks.join(save(states, "states"), ["key", "idx"]).mapInArrow(lean(_trace(path)), "key binary, idx int, ids array<int>")
+    kind, found = "key binary, idx int, n int, m array<struct<s:bigint,so:int,x:bigint,xo:int,w:double>>", "key binary, idx int, s bigint, so int, x bigint, xo int"
+    matrices = save(chunks.mapInArrow(lean(_matrices(path)), kind), "matrices")
+    # Up the tree: a matrix for each span of chunks, states for each span; and down: states for each chunk.
+    span = F.floor(F.col("idx") / SPAN).cast("int")
+    spans = matrices.repartition("key", span).sortWithinPartitions("key", "idx").mapInArrow(lean(_spans), kind)
+    ends = spans.repartition("key").sortWithinPartitions("key", "idx").mapInArrow(lean(_between_spans), found).withColumnsRenamed({"key": "span_key", "idx": "span"})
+    held = matrices.withColumn("at_", span).join(ends, (F.col("key") == F.col("span_key")) & (F.col("at_") == F.col("span")))
+    held = held.select("key", "idx", "n", "m", "s", "so", "x", "xo", "at_").repartition("key", "at_").sortWithinPartitions("key", "idx")
+    states = save(held.mapInArrow(lean(_inside_spans), found), "states")
+    forget(matrices)
+    traced = chunks.join(states, ["key", "idx"]).mapInArrow(lean(_trace(path)), "key binary, idx int, ids array<int>")
     ids = traced.groupBy(F.col("key").alias("ids_key_")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idx", "ids"))), lambda x: x["ids"])).alias("token_ids"))
     long = keyed.join(save(ids, "ids"), F.col("key_") == F.col("ids_key_")).drop("key_", "ids_key_")
     return small.mapInArrow(lean(whole), schema).unionByName(long)
@@ -615,7 +657,7 @@ def decode(df: DataFrame, token_ids: str = "token_ids", path: str = MODEL, to: s
         sp = processor(path)
         for batch in batches:
             at = batch.schema.names.index(token_ids)
-            texts = [None if ids is None else sp.decode(ids) for ids in batch.column(at).to_pylist()]
+            texts = [None if ids is None else sp.decode(ids) for ids in int_lists(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, to])
 
     return df.mapInArrow(lean(run), schema)
