@@ -57,6 +57,15 @@ def forget(df: DataFrame | None) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of keys that are sent to every executor, at most (some 50 MB).
+SMALL_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table of a few keys a row, marked for a broadcast if its counted rows allow that; else a shuffle joins it."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Drop input columns whose names (in any case) clash with those an operator adds."""
     taken = {n.lower() for n in names}
