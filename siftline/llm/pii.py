@@ -4,11 +4,18 @@ Base spans (e-mail, IP, card, phone) are the seeds. The word to the left and the
 word to the right of a seed are lexical patterns. Spark scores the bipartite
 graph of patterns and instances in rounds: a pattern's confidence for a kind is
 the summed score of its instances of that kind over ALL occurrences of the word
-in the corpus, smoothed; an identifier-like string that is no base span gets the
-noisy-or of the patterns around it and, from `accept` on, counts as an instance
-of the kind itself, which lets its other patterns rise in the next round.
+in the corpus, smoothed. Unseen strings of the kind speak neither for nor against
+it while they are no more than the known mass; those beyond count against it. An
+identifier-like string that is no base span gets the noisy-or of the patterns
+around it and, from `accept` on, counts as an instance of the kind itself, which
+lets its other patterns rise in the next round.
 A common word stands before anything and so never becomes a pattern; a cue such
-as "tel:" does. Accepted occurrences become added spans; base spans stay.
+as "tel:" does, whether a space follows it or not. Accepted occurrences become
+added spans; base spans stay.
+
+Identifier-like strings are looked for in the text outside base spans, not in
+words, so numbers with inner spaces and spelled-out addresses ("jo (at) x.org")
+are met as well.
 
 Words are counted over the whole corpus (a table of words, summed in Spark); only
 strings with a digit or "@" leave the scan as occurrences. Both count each distinct
@@ -24,10 +31,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import lean, runs, save, table, without
+from .common import forget, lean, runs, save, table, without
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring, seeds a pattern needs, smoothing of its confidence, score from which an instance counts.
@@ -41,13 +51,20 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _WORD = re.compile(r"\S+")
-#: An identifier-like string by kind; checked only on tokens outside base spans.
+#: Identifier-like strings by kind, looked for outside base spans. Every repetition is of one separator and one part, so a search is linear.
 _LOOKS = (
-    ("email", re.compile(r"[\w.%+-]+(?:@|\(at\)|\[at\])[\w.-]+\Z")),
-    ("ip", re.compile(r"[0-9]{1,3}(?:[.:,-][0-9]{1,3}){3}\Z|[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{0,4}){3,7}\Z")),
-    ("card", re.compile(r"[0-9](?:[ .-]?[0-9]){13,18}\Z")),
-    ("phone", re.compile(r"(?=(?:[^0-9]*[0-9]){7,15}[^0-9]*\Z)[+(]?[0-9][0-9().\x20/-]{5,23}[0-9]\Z")),
+    ("ip", re.compile(r"(?<![\w.:,-])(?:[0-9]{1,3}(?:[.:,-][0-9]{1,3}){3}|[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{0,4}){3,7})(?![\w:]|[.,-][0-9])")),
+    ("card", re.compile(r"(?<![\w+.-])[0-9](?:[\x20.-]?[0-9])+(?![\w-])")),
+    ("phone", re.compile(r"(?<![\w+.(-])(?:\+|\(\+?)?[0-9]+(?:(?:\)[\x20./-]?|[\x20./-]\(?)[0-9]+)*(?![\w(-])")),
 )
+#: An address's at sign, written out or not; its parts are read to both sides.
+_AT = re.compile(r"\x20?(?:@|\(at\)|\[at\])\x20?")
+_HOST = re.compile(r"[\w-]+(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?)[\w-]+)*")
+_DIGITS = {"card": range(14, 20), "phone": range(7, 16)}
+_DIGIT = re.compile("[0-9]")
+#: A label inside a token.
+_LABEL = re.compile(r"[^:=]+[:=]")
+WORD_CHARS = 64
 _EDGE = "\"'`.,;:!?()[]{}<>*#$&%|="
 
 
@@ -86,41 +103,63 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def cue(token: str) -> str:
-    """A context word: lower case without outer quotes and commas; a closing ":" or "=" stays, it marks a label."""
+    """A context word: lower case without outer quotes and commas; a closing ":" or "=" stays, it marks a label.
+
+    A word over WORD_CHARS characters goes by its hash, so that no two of them are one.
+    """
     mark = token[-1:] if token[-1:] in ":=" else ""
-    return (token.lower().strip(_EDGE) + mark)[:64]
+    word = token.lower().strip(_EDGE) + mark
+    return word if len(word) <= WORD_CHARS else "#" + xxhash.xxh3_128_hexdigest(word.encode("utf-8", "surrogatepass"))
+
+
+def cues(token: str) -> list[str]:
+    """What a token counts as: itself, and the labels inside it ("tel:" of "tel:5551234")."""
+    whole = cue(token)
+    if ":" not in token[:-1] and "=" not in token[:-1]:
+        return [whole]
+    return [whole, *(c for x in _LABEL.findall(token) if (c := cue(x)) != whole)]
+
+
+def looks(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of identifier-like strings that touch no base span; linear in the text."""
+    parts, at = [], 0
+    for _, s, e in sorted(base, key=lambda x: x[1]):
+        if e > at:
+            parts += (text[at:s], "\0" * (e - max(at, s)))
+            at = e
+    text = "".join((*parts, text[at:]))
+    out, edge = [], 0
+    for m in _AT.finditer(text):
+        start = m.start()
+        while start > edge and (text[start - 1] in _LOCAL_CHARS or text[start - 1].isalnum()):
+            start -= 1
+        edge = m.end()
+        host = _HOST.match(text, m.end())
+        plain = m[0] == "@"
+        if start < m.start() and host and (plain or "." in host[0] or "dot" in host[0]):
+            out.append(("email", start, host.end()))
+            edge = host.end()
+    if _DIGIT.search(text):
+        for kind, form in _LOOKS:
+            for m in form.finditer(text):
+                if kind not in _DIGITS or sum(c.isdigit() for c in m[0]) in _DIGITS[kind]:
+                    out.append((kind, *m.span()))
+    return out
 
 
 def occurrences(text: str, base: list[tuple[str, int, int]], tokens: list[re.Match]) -> list[tuple[str, str, int, int, str, str, bool]]:
-    """(kind, instance, start, end, left cue, right cue, is base) of seeds and identifier-like tokens."""
-    out, free = [], [(s, e) for _, s, e in base]
+    """(kind, instance, start, end, left cue, right cue, is base) of seeds and identifier-like strings."""
     starts = [t.start() for t in tokens]
 
     def around(s: int, e: int) -> tuple[str, str]:
         i = bisect_right(starts, s) - 1
-        left = text[starts[i] : s].strip() if i >= 0 and starts[i] < s else ""
-        left = cue(left) if left.strip(_EDGE) or left[-1:] in tuple(":=") else cue(tokens[i - 1][0]) if i > 0 else ""
+        glued = text[starts[i] : s] if i >= 0 and starts[i] < s else ""
+        label = _LABEL.findall(glued)[-1:] if glued[-1:] in (":", "=") else ()
+        left = cue(label[0]) if label else "" if glued.strip(_EDGE) else cue(tokens[i - 1][0]) if i > 0 else ""
         j = bisect_right(starts, e - 1)
         return left, cue(tokens[j][0]) if j < len(tokens) else ""
 
-    for kind, s, e in base:
-        out.append((kind, text[s:e], s, e, *around(s, e), True))
-    k = 0
-    for t in tokens:
-        raw = t[0]
-        if not ("@" in raw or "(at)" in raw or "[at]" in raw or any("0" <= c <= "9" for c in raw)):
-            continue
-        lead = len(raw) - len(raw.lstrip(_EDGE.replace("(", "").replace("+", "")))
-        core = raw[lead:].rstrip(_EDGE.replace(")", ""))
-        s, e = t.start() + lead, t.start() + lead + len(core)
-        while k < len(free) and free[k][1] <= s:
-            k += 1
-        if not core or any(a < e and b > s for a, b in free[k : k + 4]):
-            continue
-        for kind, looks in _LOOKS:
-            if len(core) <= 320 and looks.match(core):
-                out.append((kind, core, s, e, *around(s, e), False))
-    return out
+    return [(kind, text[s:e], s, e, *around(s, e), seed) for found, seed in ((base, True), (looks(text, base), False)) for kind, s, e in found]
 
 
 _SCAN = "key binary, base array<struct<kind:string,start:int,end:int>>, occ array<struct<kind:string,inst:string,start:int,end:int,left:string,right:string,seed:boolean>>, word string, n bigint, copies bigint"
@@ -137,7 +176,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[tuple[str, int]] = Counter()
         for copies, tokens in raw.items():
             for token, n in tokens.items():
-                counts[cue(token), copies] += n
+                for word in cues(token):
+                    counts[word, copies] += n
         raw.clear()
         k = len(counts)
         return pa.RecordBatch.from_arrays([pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(span)), pa.nulls(k, pa.list_(occ)), pa.array([w for w, _ in counts], pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array([c for _, c in counts], pa.int64())], schema=schema)
@@ -149,7 +189,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text, k in zip(texts[a:b], copies[a:b], strict=True):
                 raw.setdefault(k, Counter()).update(text.split())
                 base = base_spans(text)
-                digit = base or "@" in text or "(at)" in text or "[at]" in text or _DIGIT.search(text)
+                digit = base or _DIGIT.search(text) or _AT.search(text)
                 occs.append([dict(zip(occ.names, x, strict=True)) for x in occurrences(text, base, list(_WORD.finditer(text)))] if digit else [])
                 bases.append([dict(zip(span.names, x, strict=True)) for x in base])
             k = b - a
@@ -159,9 +199,6 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield words()
 
 
-_DIGIT = re.compile("[0-9]")
-
-
 def score_graph(occ: DataFrame, words: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, smooth: float = SMOOTH, accept: float = ACCEPT) -> DataFrame:
     """(kind, inst, score) of the unseen instances that were accepted.
 
@@ -176,8 +213,9 @@ def score_graph(occ: DataFrame, words: DataFrame, rounds: int = ROUNDS, support:
         known = edges.withColumn("s", F.col("seed").cast("double"))
         if scores is not None:
             known = edges.join(scores, ["kind", "inst"], "left").withColumn("s", F.greatest(F.col("seed").cast("double"), F.coalesce("score", F.lit(0.0))))
-        hits = known.where("s > 0").groupBy("kind", "pattern").agg(F.sum(F.col("s") * F.col("n")).alias("mass"), F.count(F.lit(1)).alias("instances"), F.max("total").alias("total"))
-        patterns = hits.where(F.col("instances") >= support).select("kind", "pattern", (F.col("mass") / (F.col("total") + smooth)).alias("conf"))
+        mass, unseen = F.sum(F.col("s") * F.col("n")), F.sum(F.when(F.col("seed"), 0.0).otherwise((1 - F.col("s")) * F.col("n")))
+        hits = known.groupBy("kind", "pattern").agg(mass.alias("mass"), unseen.alias("unseen"), F.count(F.when(F.col("s") > 0, 1)).alias("instances"), F.max("total").alias("total"))
+        patterns = hits.where(F.col("instances") >= support).select("kind", "pattern", (F.col("mass") / (F.col("total") - F.least("unseen", "mass") + smooth)).alias("conf"))
         met = edges.where("not seed").join(patterns, ["kind", "pattern"])
         doubt = met.groupBy("kind", "inst").agg((1 - F.exp(F.sum(F.log(1 - F.least("conf", F.lit(0.999)))))).alias("score"))
         scores = save(doubt.where(F.col("score") >= accept), "scores")
@@ -189,7 +227,9 @@ def find_personal_data(df: DataFrame, text: str = "text") -> DataFrame:
 
     Null texts count as empty; both arrays are then empty. Offsets are code
     points, ends exclusive. An added span never overlaps a base span or an
-    earlier added one. Columns of these names are replaced; repeated rows stay.
+    earlier added one. Columns of these names are replaced; repeated rows stay;
+    an empty table gives an empty one. Whole texts are read, in time linear in
+    their length; of words over 64 characters the hash is the pattern.
     """
     df = without(df, ("base", "spans", "pii_key_"))
     t = F.coalesce(F.col(text), F.lit(""))
@@ -205,36 +245,59 @@ def find_personal_data(df: DataFrame, text: str = "text") -> DataFrame:
     accepted = score_graph(sides.groupBy("kind", "inst", "seed", "pattern").agg(F.count(F.lit(1)).alias("n")), words)
     added = texts.where("not seed").join(accepted, ["kind", "inst"]).groupBy("key").agg(F.collect_set(F.struct("start", "end", "kind")).alias("more"))
     spans = scan.where("not is_word").select("key", "base").dropDuplicates(["key"]).join(added, "key", "left")
-    rank = F.create_map(*[F.lit(x) for k, name in enumerate(KINDS) for x in (name, k)])
-    one = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
-    more = F.aggregate(
-        F.array_sort(F.coalesce("more", F.expr("array()").cast("array<struct<start:int,end:int,kind:string>>"))),
-        F.expr("array()").cast("array<struct<kind:string,start:int,end:int>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, F.when(F.size(acc) > 0, F.lit(-1)).otherwise(F.lit(1)))["end"] > x["start"]), acc).otherwise(F.concat(acc, F.array(one(x)))),
-    )
-    ordered = F.array_sort(F.transform(F.concat("base", "more"), lambda x: F.struct(x["start"].alias("start"), rank[x["kind"]].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    spans = spans.withColumn("more", F.when(F.col("more").isNotNull(), more).otherwise(F.expr("array()").cast("array<struct<kind:string,start:int,end:int>>")))
-    spans = save(spans.select(F.col("key").alias("span_key_"), "base", F.transform(ordered, one).alias("spans")), "spans")
+    spans = save(spans.mapInArrow(lean(_merged), "span_key_ binary, base array<struct<kind:string,start:int,end:int>>, spans array<struct<kind:string,start:int,end:int>>"), "spans")
+    for t_ in (copies, words, texts, scan):
+        forget(t_)
     return keyed.join(spans, F.col("pii_key_") == F.col("span_key_")).drop("pii_key_", "span_key_")
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Base spans, and all spans by start, then kind; of added spans that overlap the one that starts first stays, then the shorter."""
+    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    rank = {k: i for i, k in enumerate(KINDS)}
+    for batch in batches:
+        base, more = batch.column(1), batch.column(2).to_pylist()
+        out, filled = [], base.to_pylist() if any(more) else []
+        for i, found in enumerate(more if filled else ()):
+            end, kept = 0, list(filled[i])
+            for x in sorted(found or (), key=lambda x: (x["start"], x["end"], rank[x["kind"]])):
+                if x["start"] >= end:
+                    kept.append(x)
+                    end = x["end"]
+            out.append(sorted(kept, key=lambda x: (x["start"], rank[x["kind"]])))
+        yield pa.RecordBatch.from_arrays([batch.column(0), base, pa.array(out, span) if filled else base], ["span_key_", "base", "spans"])
+
+
 def written(spans: F.Column) -> F.Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
+def redacted(text: str, spans: list[dict]) -> str:
+    """The text with every span replaced by its kind; spans that overlap an earlier one merge into its mark."""
+    out, at = [], 0
+    for x in spans:
+        if x["start"] >= at:
+            out += (text[at : x["start"]], "[", x["kind"].upper(), "]")
+        at = max(at, x["end"])
+    return "".join((*out, text[at:]))
+
+
 def redact(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
-    """Replace every span by its kind in brackets; spans that overlap an earlier one merge into its mark."""
-    step = F.aggregate(
-        F.col(spans),
-        F.struct(F.lit(0).alias("at"), F.expr("array()").cast("array<string>").alias("out")),
-        lambda acc, x: F.when(x["start"] < acc["at"], F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(F.substring(F.col(text), acc["at"] + 1, x["start"] - acc["at"]), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))).alias("out"))
-        ),
-    )
-    done = df.withColumn("done_", step)
-    tail = F.substring(F.col(text), F.col("done_")["at"] + 1, F.length(text))
-    clean = F.when(F.size(spans) > 0, F.concat(F.array_join(F.col("done_")["out"], ""), tail)).otherwise(F.col(text))
-    return done.withColumn(text, clean).drop("done_")
+    """Replace every span by its kind in brackets. Null texts stay null, texts without spans stay as they are."""
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = batch.schema.names.index(text), batch.column(batch.schema.names.index(spans))
+            due = pc.greater(pc.fill_null(found.value_lengths(), 0), 0)
+            if due.true_count:
+                texts = batch.column(at).to_pylist()
+                for i in due.to_numpy(zero_copy_only=False).nonzero()[0].tolist():
+                    texts[i] = texts[i] and redacted(texts[i], found[i].as_py())
+                batch = batch.set_column(at, text, pa.array(texts, pa.string()))
+            yield batch
+
+    return df.mapInArrow(lean(run), schema)
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,7 +108,7 @@ def test_jaccard_join_equals_brute_force(spark):
 
 
 def test_jaccard_join_of_a_family_over_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "FAMILY_BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "FAMILY_WEIGHT", 1500)
     monkeypatch.setattr(ngram_join, "BUCKET_BLOCK", 8)
     r = random.Random(5)
     base = text_of(r, 100).split()
@@ -121,6 +121,53 @@ def test_jaccard_join_of_a_family_over_many_blocks(spark, monkeypatch):
     assert {x.n_links for x in got} == {119} and {x.class_id for x in got} == {0}
 
 
+@pytest.mark.parametrize("group, tile", [(4, 8), (200, 8)])
+def test_jaccard_join_of_one_dense_family(spark, monkeypatch, group, tile):
+    monkeypatch.setattr(ngram_join, "SMALL_GROUP", group)
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    r, rows = random.Random(9), []
+    base = text_of(r, 90).split()
+    for i in range(90):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 4])):
+            w[r.randrange(90)] = f"y{r.randrange(5)}"
+        rows.append((i, " ".join(w)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(86)} for i, w in ((i, t.split()) for i, t in rows)}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.n_links for x in got} == {i: sum(i in x for x in links) for i in sets} and {x.doc_id: x.class_id for x in got} == classes(sets, links)
+
+
+def test_intersections_of_sets():
+    g = np.random.default_rng(3)
+    lists = [np.unique(g.integers(0, 60, g.integers(0, 50))) for _ in range(40)] + [np.arange(60)] * 3
+    sets = ngram_join.Sets(np.concatenate(lists).astype(np.int64), np.r_[0, np.cumsum([len(x) for x in lists])])
+    left, right = np.triu_indices(len(lists), 1)
+    want = [len(np.intersect1d(lists[a], lists[b])) for a, b in zip(left, right, strict=True)]
+    n = len(lists)
+    assert sets.pairs(left, right).tolist() == want and sets.tile(0, n, 0, n)[left, right].tolist() == want and sets.tile(5, 9, 30, n).shape == (4, n - 30)
+    assert ngram_join.Sets(np.zeros(0, np.int64), np.zeros(3, int)).pairs(np.array([0]), np.array([1])).tolist() == [0]
+
+
+def test_pairs_within_groups():
+    for most in (3, 10, 1000):
+        got = [(a, b) for x, y in components.pairs_within(np.array([0, 1, 4, 4, 11, 13]), most) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+        assert sorted(got) == [(a, b) for lo, hi in ((1, 4), (4, 11), (11, 13)) for a in range(lo, hi) for b in range(a + 1, hi)]
+
+
+def test_what_workers_gather_is_merged():
+    import pyarrow as pa
+
+    g = components.Gathered(pa.int64(), 4)
+    g.link(pa.array([5, 4]), pa.array([4, 3]))
+    assert not list(g.forest()) and not list(g.totals())
+    g.link(pa.array([5, 9]), pa.array([3, 8]))
+    g.add(pa.array([1, 2, 1]), np.array([1, 2, 3]))
+    ((src, dst),), ((node, n),) = list(g.forest()), list(g.totals(True))
+    assert len(src) == 3 and classes([3, 4, 5, 8, 9], list(zip(src.to_pylist(), dst.to_pylist(), strict=True))) == {3: 3, 4: 3, 5: 3, 8: 8, 9: 8}
+    assert dict(zip(node.to_pylist(), n.to_pylist(), strict=True)) == {1: 4, 2: 2} and not list(g.forest(True))
+
+
 def test_posterior_bound():
     assert ngram_join.least_matches() == sorted(ngram_join.least_matches())
     least = ngram_join.least_matches()[-1]
@@ -258,6 +305,50 @@ def test_copies_of_a_text_do_not_weaken_its_cues(spark):
     assert len(found) == 300 and all([tuple(s) for s in r.spans] == [("phone", 16, 27)] for r in found)
 
 
+def test_planted_formats_are_found_by_their_cues(spark):
+    """Precision and recall of added spans: formats that no base pattern knows, beside cues that seeds taught, and the same without cues."""
+    r = random.Random(12)
+    word = lambda: r.choice(WORDS) + r.choice("abcdefgh")
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    seeds = {"phone": lambda: f"+44 20 7{d(3)} {d(4)}", "email": lambda: f"{word()}@{word()}.org", "ip": lambda: f"10.{r.randrange(200)}.{r.randrange(200)}.7"}
+    unseen = {"phone": [lambda: f"020 7{d(3)} {d(4)}", lambda: f"(555) {d(3)}-{d(4)}", lambda: f"555.{d(2)}.{d(4)}", lambda: d(8)], "email": [lambda: f"{word()} (at) {word()}.org", lambda: f"{word()}[at]{word()}[dot]net", lambda: f"{word()}@{word()}"], "ip": [lambda: f"fe80:0:{d(2)}:{d(3)}", lambda: f"10-2{d(1)}-31-{d(2)}"]}
+    cue = {"phone": ["tel: ", "tel:", "Phone="], "email": ["mail: ", "e-mail="], "ip": ["host: ", "addr="]}
+    rows, want = [], set()
+    for kind, make in seeds.items():
+        rows += [f"{text_of(r, 6)} {r.choice(cue[kind])}{make()} {text_of(r, 5)}" for _ in range(120)]
+    for kind, makes in unseen.items():
+        for i in range(60):
+            left, what = f"{text_of(r, 7)} {r.choice(cue[kind])}", makes[i % len(makes)]()
+            want.add((len(rows), kind, len(left), len(left) + len(what)))
+            rows.append(f"{left}{what} {text_of(r, 4)}")
+    rows += [f"{text_of(r, 5)} {makes[i % len(makes)]()} {text_of(r, 5)}" for makes in unseen.values() for i in range(60)]
+    found = pii.find_personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)).collect()
+    got = {(x.doc_id, *s) for x in found for s in x.spans if s not in x.base}
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+
+
+def test_looks_beside_base_spans():
+    x = "a@b.org jo (at) x.org 020 7946 0958 1.2.3.4 5551234-b 4111 1111 1111 1112 @x"
+    base = pii.base_spans(x)
+    assert [(k, x[s:e]) for k, s, e in pii.looks(x, base)] == [("email", "jo (at) x.org"), ("card", "4111 1111 1111 1112"), ("phone", "020 7946 0958")]
+    assert pii.cues("tel:555") == ["tel:555", "tel:"] and pii.cues("tel:") == ["tel:"] and pii.cue("y" * 99) != pii.cue("y" * 98) and pii.cue("Say,") == "say"
+    assert ("phone", 4, 404) not in pii.looks("tel:" + "5" * 400, [])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab@. 1234567890-+()[]:t", max_size=60))
+def test_looks_touch_no_base_span(x):
+    base = pii.base_spans(x)
+    for _, s, e in pii.looks(x, base):
+        assert s < e and not any(a < e and b > s for _, a, b in base)
+
+
+def test_redaction_of_many_spans():
+    n = 30_000
+    spans = [{"kind": "ip", "start": 8 * i, "end": 8 * i + 7} for i in range(n)] + [{"kind": "card", "start": 8 * n - 4, "end": 8 * n + 1}]
+    assert pii.redacted("1.1.1.1 " * n + "xy", spans) == "[IP] " * (n - 1) + "[IP]y"
+
+
 def test_personal_data_odd_rows(spark, odd):
     rows = pii.find_personal_data(odd).collect()
     assert len(rows) == len(ODD) and all(r.base == [] for r in rows)
@@ -306,6 +397,9 @@ P = "<p>Thoren and ingly erst the onwh. Reat hein ther, thion asto.</p>"
     (f'<div class="header"><a href="/">Home</a></div><div class="content"><h1>Title here</h1>{P}<div class="ad">Buy now.</div>{P}</div><div class="footer">&copy; x</div>', "Title here P P"),
     (f'<main><h1>T e</h1>{P}{P}</main><section id="comments"><h2>Comments</h2><div class="comment"><p>Great, thanks a lot. Really.</p></div></section>', "T e P P"),
     (f'<noscript>No</noscript><div id="main"><p>A&nbsp;&lt;b&gt; &#233;<br/>c</p>{P}</div><p class="copyright">All rights reserved</p>', "A <b> é c P"),
+    (f"<article>{P}<!-->{P}<!--->{P}<!-- a > b --!>{P}</article>", "P P P P"),
+    (f"<article>{P}<p>The value of <math><mi>a</mi><mo>+</mo><mn>2</mn><annotation>a+2</annotation></math> is larger, and <svg viewBox='0 0 1 1'><title>t</title><text>so</text></svg> it stays. {P[3:]}</article>", "P The value of a+2 is larger, and so it stays. P"),
+    (f"<article>{P}{P}</article><div class='a b c d e f g h i j k l m n comments'><p>Great, thanks a lot. Really.</p></div>", "P P"),
     (f"<article>{P}<script>x('<p>no</p>')</script><!-- <p>no</p> --><style>p{{}}</style>{P}", "P P"), ("", ""), (None, ""),
 ])
 def test_main_text(page, want):
@@ -323,6 +417,15 @@ def test_raw_elements_end_at_their_end_tag(n):
     assert "".join(b.text for b in html_crf.blocks(page)) == "İ" * n + " en.ablast words of all."
 
 
+def test_extract_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, "  "), (4, "no tags at all, only one long sentence. And then another one."), (5, f"<article>{P * 2000}</article>"), (5, f"<article>{P * 2000}</article>"), (None, f"<article>{P}</article>")]
+    df = spark.createDataFrame(rows, "page_id long, html string").withColumns({"text": F.lit("clash"), "n_chars": F.lit("clash"), "key": F.lit("x")})
+    got = html_crf.extract(df).collect()
+    plain = re.sub("<.*?>", "", P)
+    assert sorted((r.page_id or 0, r.n_chars) for r in got if r.page_id != 4) == [(0, len(plain)), (1, 0), (2, 0), (3, 0), *[(5, 2000 * (len(plain) + 1) - 1)] * 2] and len(got) == len(rows)
+    assert all(r.n_chars == len(r.text) and r.key == "x" for r in got) and html_crf.extract(df.where("false")).count() == 0
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='a\"", "<", ">", "<a href=", "x y", "&amp", "<!--", "-->", "<br/>", "</div>", "<script>", "</script>", "<li>", "\"", "'", "<table><tr><td>", "<p", "é"]), max_size=40).map("".join))
 def test_any_markup_is_read(page):
@@ -364,6 +467,44 @@ def test_items_of_figures(spark):
     assert {r.doc_id: r.exact_slots for r in got} == {1: True, 3: True, 4: False, 6: True, 8: True}
 
 
+def test_reparameterised_recall_against_brute_force(spark):
+    """Names that open sentences, names and numbers of several words: every planted question is found, and nothing else."""
+    r = random.Random(11)
+    names, towns = ["Tom", "Sue", "Jim", "Anna Lee", "Mary Ann"], ["Paris", "New York", "Rome", "San Jose"]
+    figures = ["7", "12", "40", "1,250", "twenty five", "ninety"]
+    w = lambda n: " ".join(text_of(r, n).split())
+    frames = [f"{{0}} {w(5)} {{2}} {w(4)} in {{1}} {w(6)}. {{0}} then {w(5)} {{3}} {w(5)} and {{1}} {w(4)}." for _ in range(25)]
+    fill = lambda f: f.format(r.choice(names), r.choice(towns), *r.sample(figures, 2))
+    items = [(i, fill(f)) for i, f in enumerate(frames)]
+    docs, want = [], set()
+    for i, f in enumerate(frames * 4):
+        docs.append((i, f"{text_of(r, 20)}. {fill(f)} {text_of(r, 20)}"))
+        want.add((i, i % 25))
+    docs += [(1000 + i, f"{text_of(r, 20)} in Paris 7 {text_of(r, 30)} New York 12") for i in range(40)]
+    got = {(x.doc_id, x.item_id) for x in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_slots_over_a_shifted_alignment():
+    import pyarrow as pa
+
+    def matched(*diags):
+        d = pa.array([[{"diag": k, "wpos": w, "fills": [{"i": i, "d": x} for i, x in f]} for k, w, f in diags]], pa.list_(pa.struct([("diag", pa.int32()), ("wpos", pa.list_(pa.int32())), ("fills", pa.list_(pa.struct([("i", pa.string()), ("d", pa.string())])))])))
+        out = next(decontam._consistent([pa.record_batch([pa.array([b"k"]), pa.array([1]), pa.array([9], pa.int32()), d], ["key", "item_id", "n_windows", "diags"])]))
+        return out.column(3)[0].as_py(), out.column(4)[0].as_py()
+
+    a = (5, [0, 1, 2, 3], [("n:3", "n:4"), ("p:sue", "p:tom")])
+    assert matched(a, (6, [6, 7], [("p:sue", "p:tom")])) == (6, False)
+    assert matched(a, (6, [6, 7], [("p:sue", "p:jim")])) == (4, False) and matched(a, (6, [6, 7], [("p:ann", "p:tom")])) == (4, False)
+    assert matched((0, [1], [("n:3", "n:3")])) == (1, True) and matched((0, [1], [("n:3", "n:3"), ("n:3", "n:4")])) == (0, True)
+
+
+def test_templates():
+    t, nums, names, units = decontam.template("Tom has twenty five apples. In New York, Anna Lee pays 7 euros to McDonald and Éva")
+    assert t.split() == "\x04tom has \x01 apples. \x04in \x02 , \x02 pays \x01 \x03 to mcdonald and \x02".split() and nums == ["twenty five", "7"] and units == ["euros"]
+    assert names == ["new york", "anna lee", "éva"]
+
+
 def test_slices_of_the_benchmark_agree(spark, monkeypatch):
     r = random.Random(7)
     items = spark.createDataFrame([(i, text_of(r, 20)) for i in range(20)], "item_id long, text string")
