@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import json
 import os
 import sys
 import time
 
+from pyspark.sql import functions as F
+
+from .functions.severity import meets
 from .operators.diff import load_previous
 from .operators.known import load_hashes
 from .operators.rules import RuleSet
-from .plans.report import console_line, log_document, ordered, summary_text, write_html, write_json
+from .plans.report import console_line, entries, ordered, summary_text, write_html, write_log
 from .plans.scan import scan
 
 USAGE = """Usage: python -m siftline [options]
@@ -109,13 +111,12 @@ def main(argv: list[str] | None = None, spark=None, ask=input) -> int:
             print(row.line)
         for row in result.errors.toLocalIterator():
             print(f"{row.file}: {row.error}", file=sys.stderr)
-    document = log_document(result.detections, summary, start, int(time.time()))
-    write_json(document, "scan_log.json")
-    if options["diff"]:  # the next comparison is with all of this scan, not with what was new in it
-        document = log_document(scan(spark, root, rules, options["severity"], load_hashes(spark, "known_hashes.txt")).detections, summary, start, int(time.time()))
-    write_json(document, "last_scan.json")
+    rest = {"start_time": start, "end_time": int(time.time()), **summary}
+    write_log(entries(result.detections), rest, "scan_log.json")
+    # The next comparison is with all of this scan, not with what was new in it; its hits are kept, so nothing is scanned twice.
+    write_log(entries(result.hits.where(meets(F.col("severity"), options["severity"]))), rest, "last_scan.json")
     if options["html"]:
-        write_html(json.loads(open("scan_log.json", encoding="utf-8").read()), "scan_report.html")
+        write_html({"detections": entries(result.detections), **rest}, "scan_report.html")
     result.hits.unpersist()
     print(summary_text(summary, seconds))
     return 0

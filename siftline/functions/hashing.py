@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_powers = np.ones(1, np.uint64)
+#: Bytes hashed at once: the work needs some twenty times as much memory, whatever the file's size.
+BLOCK = 1 << 20
+
+
+@lru_cache(1)
+def _powers() -> np.ndarray:
+    """Powers of 33 modulo 2**64, from the highest one that a block needs down to 1."""
+    return np.cumprod(np.r_[np.uint64(1), np.full(BLOCK - 1, 33, np.uint64)], dtype=np.uint64)[::-1].copy()
 
 
 def djb2_bytes(data: bytes, bits: int = 32) -> str:
     """5381 * 33**n + sum of byte_i * 33**(n-1-i), modulo 2**bits, as 16 hex digits."""
-    global _powers
-    n = len(data)
-    if len(_powers) <= n:
-        _powers = np.cumprod(np.r_[np.uint64(1), np.full(max(n, 2 * len(_powers)), 33, np.uint64)], dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        h = int(np.uint64(5381) * _powers[n] + (np.frombuffer(data, np.uint8).astype(np.uint64) * _powers[:n][::-1]).sum(dtype=np.uint64))
+    h, values = 5381, np.frombuffer(data, np.uint8)
+    for at in range(0, len(values), BLOCK):
+        part = values[at : at + BLOCK]
+        h = (h * pow(33, len(part), 1 << 64) + int((part * _powers()[BLOCK - len(part) :]).sum(dtype=np.uint64))) % (1 << 64)
     return f"{h & ((1 << bits) - 1):016x}"
 
 

@@ -6,6 +6,7 @@ is known to hit rules (or none): which one depends on doc_id modulo their number
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 from collections.abc import Callable
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import decode, hashing, severity, text
 from ..functions.dialect import to_java
 from ..operators import diff, known, match, summary
-from ..operators.rules import Rule, RuleSet
+from ..operators.rules import FILES, Rule, RuleSet
 from ..sources.archive import archive_members
 from . import report
 from .scan import scan, scan_files
@@ -293,15 +294,15 @@ def prefix_offsets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def console_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return detections(spark, sf).where("rule_id <> 26").select(report.console_line().alias("line"))
+    return detections(spark, sf).select(report.console_line().alias("line"))
 
 
 def html_fragment(spark: SparkSession, sf: str) -> DataFrame:
-    return detections(spark, sf).where("rule_id <> 26").select(report.html_fragment().alias("fragment"))
+    return detections(spark, sf).select(report.html_fragment().alias("fragment"))
 
 
 def json_entry(spark: SparkSession, sf: str) -> DataFrame:
-    return detections(spark, sf).where("rule_id <> 26").select(report.json_entry().alias("entry"))
+    return detections(spark, sf).select(report.json_entry().alias("entry"))
 
 
 def _scan_of(table: str, key: str, body: str) -> Query:
@@ -322,6 +323,42 @@ def archive_scan(spark: SparkSession, sf: str) -> DataFrame:
     return scan_files(archive_members(packed), RULES).detections.select(*_HIT.split(", "))
 
 
+def rule_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The shipped rules written as rule files, with lines that are no rules after them, and loaded again."""
+    with tempfile.TemporaryDirectory() as folder:
+        RULES.write(folder)
+        for name in FILES.values():
+            with open(os.path.join(folder, name), "a", encoding="utf-8") as f:
+                f.write("no mark here\n\n(not closed;;;[LOW] x\n")
+        return RuleSet.load(folder, spark).relation(spark)
+
+
+_LOG = [("a.lua", 3, "[HIGH] x"), ("a.lua", 3, "[HIGH] x"), ("", 0, ""), ("b/c.vmt", 0, "[LOW] 'y'")]
+
+
+def previous_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """An earlier scan's log with repeated detections and missing fields, loaded as keys."""
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "last_scan.json")
+        report.write_json({"detections": [{k: v for k, v in zip(diff.KEY, row, strict=True) if v} for row in _LOG], "start_time": 0}, path)
+        return diff.load_previous(spark, path)
+
+
+def scan_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Critical detections written as the log document, and that read again."""
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "scan_log.json")
+        report.write_log(report.entries(detections(spark, sf).where("severity = 'critical'")), {"start_time": 0, "end_time": 1}, path)
+        with open(path, encoding="utf-8") as f:
+            found = json.load(f)["detections"]
+    names = ["file", "severity", "detection", "line_number", "line_text", "decoded_content"]
+    return spark.createDataFrame([tuple(d.get(k) for k in names) for d in found], "file string, severity string, detection string, line_number int, line_text string, decoded_content string")
+
+
+def known_count(spark: SparkSession, sf: str) -> DataFrame:
+    return hash_list_parse(spark, sf).agg(F.count(F.lit(1)).alias("hashes"))
+
+
 _fixture: list[str] = []
 
 
@@ -354,7 +391,7 @@ QUERIES: dict[str, Query] = {
     "base64_binary_rejected": base64_binary_rejected, "djb2_hash": djb2_hash, "djb2_hash_lines": djb2_hash_lines, "known_hash_hits": known_hash_hits, "skip_known": skip_known,
     "hash_list_parse": hash_list_parse, "diff_new": diff_new, "diff_unchanged": diff_unchanged, "diff_removed": diff_removed, "prefix_offsets": prefix_offsets, "console_lines": console_lines,
     "html_fragment": html_fragment, "json_entry": json_entry, "scan_conversations": _scan_of("conversations", "conv_id", "text"), "scan_event_props": _scan_of("events", "event_id", "props"),
-    "scan_pages": _scan_of("pages", "page_id", "html"), "archive_scan": archive_scan, "directory_scan": directory_scan,
+    "scan_pages": _scan_of("pages", "page_id", "html"), "rule_files": rule_files, "previous_scan": previous_scan, "scan_log": scan_log, "known_count": known_count, "archive_scan": archive_scan, "directory_scan": directory_scan,
 }
 
 
@@ -392,7 +429,7 @@ _EXT_SQL = {"file_ext": r"lower(regexp_extract(regexp_extract(url, '([^/]*)$', 1
 _HASHED = f"hashed AS (SELECT *, {_djb2_sql('content')} AS hash FROM corpus), bad AS (SELECT DISTINCT hash FROM hashed WHERE doc_id % 11 = 0)"
 _B64LINE = "b AS (SELECT doc_id, 'x = \"' || to_base64(CASE WHEN doc_id % 3 = 0 THEN '\\x07'::BLOB || encode(text) ELSE encode(text) END) || '\"' AS line FROM documents)"
 _CODE_LINE = "'x ' || " + " || ',' || ".join(f"CAST(CAST({c} AS INT) % 990 + 10 AS VARCHAR)" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "trunc(l_quantity)", "trunc(l_extendedprice)", "l_orderkey")) + " || ' y'"
-_NODEC = "(SELECT *, " + _DECODED + " AS decoded_content FROM hits WHERE rule_id <> 26)"
+_NODEC = "(SELECT *, " + _DECODED + " AS decoded_content FROM hits)"
 
 
 def _esc(c: str) -> str:
@@ -444,6 +481,10 @@ ORACLES: dict[str, str] = {
     "console_lines": f"{_BASE} SELECT file || ' | ' || detection || ' in a ' || upper(substr(ext, 2)) || ' @ Line #' || line_number || ' | ' || line_text || CASE WHEN coalesce(decoded_content, '') <> '' THEN ' -> Decoded: ' || CASE WHEN contains(detection, 'Base64') AND length(decoded_content) > 100 THEN left(decoded_content, 100) || '...' ELSE decoded_content END ELSE '' END AS line FROM {_NODEC}",
     "html_fragment": f"{_BASE} SELECT '<section class=\"hit ' || severity || '\"><b>' || severity || '</b> ' || {_esc('detection')} || '<br><i>' || {_esc('file')} || '</i> line ' || line_number || '<pre>' || {_esc('line_text')} || '</pre>' || CASE WHEN coalesce(decoded_content, '') <> '' THEN '<pre class=decoded>' || {_esc('decoded_content')} || '</pre>' ELSE '' END || '</section>' AS fragment FROM {_NODEC}",
     "json_entry": f"{_BASE} SELECT CASE WHEN coalesce(decoded_content, '') <> '' THEN CAST(json_object('decoded_content', decoded_content, 'detection', detection, 'file', file, 'line_number', line_number, 'line_text', line_text, 'severity', severity) AS VARCHAR) ELSE CAST(json_object('detection', detection, 'file', file, 'line_number', line_number, 'line_text', line_text, 'severity', severity) AS VARCHAR) END AS entry FROM {_NODEC}",
+    "rule_files": f"WITH {_rules_sql(RULES)} SELECT file_type, rule_id, pattern, detection, severity FROM r",
+    "previous_scan": f"SELECT DISTINCT file, CAST(line_number AS INT) AS line_number, detection FROM (VALUES {_values(_LOG)}) v(file, line_number, detection)",
+    "scan_log": f"{_BASE} SELECT file, severity, detection, line_number, line_text, nullif(decoded_content, '') AS decoded_content FROM {_NODEC} WHERE severity = 'critical'",
+    "known_count": f"SELECT count(DISTINCT split_part(x, ';;;', 1)) AS hashes FROM (VALUES {_values((x,) for x in _HASH_LINES)}) v(x) WHERE x <> '' AND NOT starts_with(x, '#')",
     "scan_conversations": _scan_sql("conversations", "conv_id", "text"),
     "scan_event_props": _scan_sql("events", "event_id", "props"),
     "scan_pages": _scan_sql("pages", "page_id", "html"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 import html
 import json
 import os
+import textwrap
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -52,22 +54,42 @@ def ordered(detections: DataFrame) -> DataFrame:
     return detections.orderBy(*keys)
 
 
-def log_document(detections: DataFrame, summary: dict, start: int, end: int) -> dict:
-    """The whole log as one document, for results that fit the driver; write_log_store() is for others."""
-    found = []
+def entries(detections: DataFrame) -> Iterator[dict]:
+    """Detections in order as the log holds them, one at a time."""
     for r in ordered(detections).toLocalIterator():
         d = r.asDict()
-        found.append({k: d[k] for k in DETECTION if d.get(k) not in (None, "") or k not in ("decoded_content", "hash")})
-    return {"detections": found, "start_time": start, "end_time": end, **summary}
+        yield {k: d[k] for k in DETECTION if d.get(k) not in (None, "") or k not in ("decoded_content", "hash")}
 
 
-def write_json(document: dict, path: str | os.PathLike) -> None:
-    """Written beside the target and moved over it, so that a reader never sees half a log."""
+def log_document(detections: DataFrame, summary: dict, start: int, end: int) -> dict:
+    """The whole log as one document, for results that fit the driver; write_log() streams it."""
+    return {"detections": list(entries(detections)), "start_time": start, "end_time": end, **summary}
+
+
+def _json(value) -> str:
+    return json.dumps(value, indent=4, sort_keys=True, ensure_ascii=False)
+
+
+def write_log(found: Iterable[dict], rest: dict, path: str | os.PathLike) -> None:
+    """The log document as a file, detection by detection, with its keys in order; written beside the target and moved over it."""
     part = Path(f"{path}.part")
-    part.write_text(json.dumps(document, indent=4, sort_keys=True, ensure_ascii=False) + "\n", encoding="utf-8")
+    with open(part, "w", encoding="utf-8") as f:
+        f.write('{\n    "detections": [')
+        some = False
+        for d in found:
+            f.write((",\n" if some else "\n") + textwrap.indent(_json(d), " " * 8))
+            some = True
+        f.write("\n    ]" if some else "]")
+        f.writelines(",\n" + textwrap.indent(f"{_json(k)}: {_json(rest[k])}", "    ") for k in sorted(rest))
+        f.write("\n}\n")
     os.replace(part, path)
 
 
+def write_json(document: dict, path: str | os.PathLike) -> None:
+    """Written beside the target and moved over it, so that a reader never sees half a log."""
+    write_log(document["detections"], {k: v for k, v in document.items() if k != "detections"}, path)
+
+
 def write_log_store(detections: DataFrame, path: str) -> None:
     """Detections as JSON lines in a store, one file per partition: for scans of any size."""
     detections.select(*[c for c in DETECTION if c in detections.columns]).write.mode("overwrite").json(path)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import ARCHIVE, SCANNABLE, file_extension, normal_path
-from .archive import member_suffix, members, read_directory
+from .archive import archive_members, member_suffix, members, read_directory
 
 SCHEMA = "file string, ext string, content binary, length bigint, archive string, error string"
 PARTITION_BYTES, PARTITION_FILES = 64 << 20, 5000
@@ -106,9 +106,20 @@ def read_directory_tree(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("siftline").load(str(root))
 
 
+def _any_case(ext: str) -> str:
+    return "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext)
+
+
 def scan_store(spark: SparkSession, path: str) -> DataFrame:
-    """The same for loose files through Spark's binary reader; it leaves out names that begin with '_' or '.', and archives come as they are."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    ext = file_extension(F.col("path"))
-    content = F.when(ext == ARCHIVE, F.col("content")).otherwise(F.encode(F.replace(F.decode(F.col("content"), "ISO-8859-1"), F.lit("\r\n"), F.lit("\n")), "ISO-8859-1"))
-    return raw.select(normal_path(F.col("path")).alias("file"), ext.alias("ext"), content.alias("content"), "length", F.lit(None).cast("string").alias("archive"), F.lit(None).cast("string").alias("error")).where(ext.isin(*SCANNABLE, ARCHIVE) & (F.col("length") > 0))
+    """The same through Spark's binary reader, for object stores: loose files, and the members of archives.
+
+    It leaves out names that begin with '_' or '.', and an archive is one value, so of 2 GB at most.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    loose = raw.option("pathGlobFilter", "{" + ",".join(map(_any_case, SCANNABLE)) + "}").load(path).where("length > 0")
+    content = F.encode(F.replace(F.decode(F.col("content"), "ISO-8859-1"), F.lit("\r\n"), F.lit("\n")), "ISO-8859-1")
+    none = F.lit(None).cast("string")
+    loose = loose.select(normal_path(F.col("path")).alias("file"), file_extension(F.col("path")).alias("ext"), content.alias("content"), "length", none.alias("archive"), none.alias("error")).where(F.col("ext").isin(*SCANNABLE))
+    packed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _any_case(ARCHIVE)).load(path).where("length > 0")
+    found = archive_members(packed.select("path", "content"))
+    return loose.union(found.select("file", "ext", "content", F.length("content").cast("bigint").alias("length"), "archive", "error"))

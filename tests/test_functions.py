@@ -138,3 +138,16 @@ def test_matching_equals_a_plain_model(spark, lines):
     df = spark.createDataFrame([(k, ".lua", x) for k, x in enumerate(lines)], "k int, ext string, line string")
     got = {(r.k, r.rule_id) for r in match_lines(df, RULES).select("k", "rule_id").collect()}
     assert got == {(k, r.rule_id) for k, x in enumerate(lines) for r in RULES.of(".lua") if re.search(r.pattern, x, re.A)}
+
+
+def test_djb2_over_blocks(monkeypatch):
+    from siftline.functions import hashing
+
+    data = bytes(range(256)) * 9
+    want = 5381
+    for b in data:
+        want = (want * 33 + b) % (1 << 64)
+    hashing._powers.cache_clear()
+    monkeypatch.setattr(hashing, "BLOCK", 100)
+    assert hashing.djb2_bytes(data, 64) == f"{want:016x}" and hashing.djb2_bytes(data) == f"{want % (1 << 32):016x}" and hashing.djb2_bytes(b"") == f"{5381:016x}"
+    hashing._powers.cache_clear()

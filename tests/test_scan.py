@@ -64,6 +64,9 @@ def test_directory(spark, tree):
 def test_store_reader_hides_names(spark, tree):
     names = {r.file.rsplit("/", 1)[1] for r in scan_store(spark, str(tree)).collect()}
     assert "A.LUA" in names and "_init.lua" not in names and "empty.lua" not in names
+    whole = scan(spark, scan_store(spark, str(tree)), RULES)
+    assert {r.file.split(str(tree) + "/")[1] for r in whole.detections.where("file like '%p.gma/%'").collect()} == {"p.gma/lua/x.lua", "p.gma/mat/y.vmt", "p.gma/.lua"}
+    assert {r.file.rsplit("/", 1)[1] for r in whole.errors.collect()} == {"bad.gma", "cut.gma"}
 
 
 def test_archive_damage():
@@ -82,7 +85,21 @@ def test_archive_relation(spark):
     df = spark.createDataFrame([("d\\a.gma", bytearray(gmad([(b"m/x.lua", HIT), (b"n.txt", HIT), (b"y.VMT", HIT)]))), ("b.gma", bytearray(b"no")), ("c.gma", None)], "path string, content binary")
     rows = {r.path: r for r in archive_directory(df).collect()}
     assert rows["d\\a.gma"].valid and len(rows["d\\a.gma"].entries) == 3 and not rows["b.gma"].valid and not rows["c.gma"].valid
-    assert {(r.file, r.ext, bytes(r.content)) for r in archive_members(df).collect()} == {("d/a.gma/m/x.lua", ".lua", HIT), ("d/a.gma/y.VMT", ".vmt", HIT)}
+    got = archive_members(df).collect()
+    assert {(r.file, r.ext, bytes(r.content)) for r in got if not r.error} == {("d/a.gma/m/x.lua", ".lua", HIT), ("d/a.gma/y.VMT", ".vmt", HIT)}
+    assert {r.file for r in got if r.error} == {"b.gma", "c.gma"} and archive_members(df.where("false")).count() == 0
+
+
+def test_damaged_archives_beside_sound_ones(spark):
+    """Members that claim gigabytes cost what the archive holds; repeated paths stay apart."""
+    sound = gmad([(b"x.lua", HIT)])
+    rows = [("s.gma", sound), ("s.gma", sound), ("i.gma", gmad([(b"a.lua", HIT, (1 << 31) - 100)])), ("l.gma", gmad([(b"a.lua", HIT, 1 << 33), (b"b.lua", HIT)])), ("n.gma", gmad([(b"a.lua", HIT, -1)])), ("t.gma", sound[:-3])]
+    df = spark.createDataFrame([(p, bytearray(d)) for p, d in rows], "path string, content binary")
+    got = [(r.file, r.content and len(r.content), r.error is None) for r in archive_members(df).collect()]
+    assert got.count(("s.gma/x.lua", len(HIT), True)) == 2 and ("t.gma/x.lua", len(HIT), True) in got and ("n.gma", None, False) in got
+    assert all(n is None or n <= 3 * len(sound) for _, n, _ in got) and {f for f, _, ok in got if ok} >= {"i.gma/a.lua", "l.gma/a.lua"}
+    r = scan_files(archive_members(df), RULES)
+    assert r.detections.where("file like 's.gma%'").count() == 2 and r.errors.count() == 1
 
 
 def test_rules_loading(spark, tmp_path):
