@@ -30,19 +30,22 @@ from .common import lean, table, without
 
 PAGES, EPOCHS, SEED = 700, 150, 7
 
-# HTML's element classes.
+# HTML's element classes. RAW elements show no text of their own in the page: code, fields, and what
+# stands in for media or scripts that a browser plays; formulas and drawings do, so their text stays.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object audio video canvas select".split())
+RAW = frozenset("script style noscript template textarea title iframe audio video canvas select annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul button label".split())
 CLOSES_P = BLOCK - frozenset("button label option optgroup legend".split())
 #: A start tag ends these open elements, up to the nearest of the second set.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Words of boilerplate texts that a class name may not give away.
 #: Where a raw element ends; searched in the page itself, as lower() can change its length.
 _RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
+#: Words of boilerplate texts that a class name may not give away.
 CUES = re.compile(r"©|\(c\)|copyright|all rights reserved|cookie|subscribe|newsletter|sign in|log in|advert|sponsored|privacy policy|terms of", re.I)
 
 _TAG = re.compile(r"<(?:(!--)|(/?)([A-Za-z][^\s/>]*)|([!?]))")
+#: A comment that ends where it begins ("<!-->", "<!--->"), and the end of others.
+_COMMENT_END, _COMMENT_LAST = re.compile("-?>"), re.compile("--!?>")
 _REST = re.compile(r"(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+>")
 _ATTR = re.compile(r"\b(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -62,7 +65,7 @@ def _marks(tag: str, attrs: str) -> tuple[str, ...]:
     for m in _ATTR.finditer(attrs) if attrs and not attrs.isspace() else ():
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role"):
-            out += [f".{w.lower()}" for w in _NAMES.findall(html.unescape(value))[:12]]
+            out += [f".{w.lower()}" for w in _NAMES.findall(html.unescape(value))]
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
             out.append(".hidden")
     return tuple(out)
@@ -129,8 +132,8 @@ def blocks(page: str | None) -> list[Block]:
     while (m := _TAG.search(page, at)) is not None:
         text(at, m.start())
         if m[1]:
-            end = page.find("-->", m.end())
-            at = len(page) if end < 0 else end + 3
+            end = _COMMENT_END.match(page, m.end()) or _COMMENT_LAST.search(page, m.end())
+            at = end.end() if end else len(page)
             continue
         rest = _REST.match(page, m.end())
         end = rest.end() if rest else page.find(">", m.end()) + 1 or len(page)
@@ -151,9 +154,8 @@ def blocks(page: str | None) -> list[Block]:
                     break  # an inline end tag does not end blocks
             continue
         if tag in RAW:
-            if page[end - 2] != "/" or tag not in ("svg", "math"):
-                k = _RAW_END[tag].search(page, end)
-                at = page.find(">", k.start()) + 1 or len(page) if k else len(page)
+            k = _RAW_END[tag].search(page, end)
+            at = page.find(">", k.start()) + 1 or len(page) if k else len(page)
             continue
         if tag == "br":
             parts.append(" ")
@@ -448,7 +450,7 @@ def extract(df: DataFrame, page: str = "html", field: Field | None = None) -> Da
 
     Null and empty pages, and pages without content, get an empty text. Whole
     pages are read, however long, and repeated rows stay. A text without any tag
-    is one block.
+    is one block. Other columns stay as they are; an empty table gives an empty one.
     """
     df = without(df, ("text", "n_chars"))
     schema = df.withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("bigint")}).schema
