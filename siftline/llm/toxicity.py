@@ -1,18 +1,22 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A lexical transducer maps words to symbols: insult (with a learned weight),
-threat, target, negation, report, other. It is composed with transducers that
+A lexical transducer maps words to symbols: insult and threat (with a learned
+weight), target, negation, report, other. It is composed with transducers that
 mark an insult or threat as negated (a negation stands a few words before), as
 reported (a verb of saying or a quote opened in the clause) and as aimed at
-somebody (a target stands in the clause, on either side). The composed machine
-reads one clause and gives the matched patterns with their weights; a logistic
-model over the weights by pattern, fitted on labelled rows, gives the score.
-
-Insults are learned: a word, or a word beginning (a stem), counts if it stands in
-several different contexts in toxic texts and is far rarer in others. Copies of
-one text share their contexts, so they don't make their words insults. Grammar
-words are fixed values. Fitting uses at most SAMPLE labelled rows, those with the
-smallest hash of their id; prediction covers all rows and whole texts.
+somebody (a target stands before it; one that follows is marked itself), and with
+one that puts a weight on every arc that writes a pattern. The composed machine
+reads one clause from left to right, and the weights of its path are the clause's
+score. A logistic model over the best and the summed clause scores of a text,
+fitted on labelled rows like the arcs' weights, gives its score.
+
+Insults and threats are learned: a word, or a word beginning (a stem), counts if it
+stands in several different contexts in toxic texts and is far rarer in others.
+Copies of one text share their contexts, so they don't make their words count. A
+learned word that is mostly followed by a target is a threat, as verbs are, any
+other an insult. Grammar words are fixed values. Fitting uses at most SAMPLE
+labelled rows, those with the smallest hash of their id; prediction covers all rows
+and whole texts.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, lean, save, table, without
+from .common import fold_of, forget, lean, save, table, without
 
 #: Labelled rows that are fitted on, at most.
 SAMPLE = 20_000
@@ -50,26 +54,26 @@ SCOPE = 3
 
 @dataclass
 class Transducer:
-    """Deterministic: (state, symbol) -> (state, symbol out). Symbols without an arc pass unchanged."""
+    """Deterministic and weighted: (state, symbol) -> (state, symbol out, weight). Symbols without an arc pass unchanged at no weight."""
 
     start: object
     arcs: dict = field(default_factory=dict)
 
     def step(self, state, symbol):
-        return self.arcs.get((state, symbol), (state, symbol))
+        return self.arcs.get((state, symbol), (state, symbol, 0.0))
 
 
 def compose(first: Transducer, second: Transducer, symbols: set[str]) -> Transducer:
-    """The machine that reads what `first` reads and writes what `second` makes of its output."""
+    """The machine that reads what `first` reads and writes what `second` makes of its output; weights add up."""
     start = (first.start, second.start)
     out, todo, seen = Transducer(start), [start], {start}
     while todo:
         a, b = todo.pop()
         for x in symbols:
-            a2, y = first.step(a, x)
-            b2, z = second.step(b, y)
-            if ((a2, b2), z) != ((a, b), x):
-                out.arcs[(a, b), x] = ((a2, b2), z)
+            a2, y, v = first.step(a, x)
+            b2, z, w = second.step(b, y)
+            if ((a2, b2), z, v + w) != ((a, b), x, 0.0):
+                out.arcs[(a, b), x] = ((a2, b2), z, v + w)
             if (a2, b2) not in seen:
                 seen.add((a2, b2))
                 todo.append((a2, b2))
@@ -77,6 +81,7 @@ def compose(first: Transducer, second: Transducer, symbols: set[str]) -> Transdu
 
 
 SYMBOLS = {"insult", "threat", "target", "not", "report", "quote", "word"}
+_MARKED = [x + mark for x in ("insult", "threat") for mark in ("", "~", "'", "~'")]
 
 
 def negation() -> Transducer:
@@ -85,60 +90,58 @@ def negation() -> Transducer:
     for left in range(SCOPE + 1):
         for x in SYMBOLS:
             marked = f"{x}~" if left and x in ("insult", "threat") else x
-            t.arcs[left, x] = (SCOPE if x == "not" else max(0, left - 1), marked)
+            t.arcs[left, x] = (SCOPE if x == "not" else max(0, left - 1), marked, 0.0)
     return t
 
 
 def report() -> Transducer:
     """Adds ' to insults and threats after a verb of saying or inside quotes."""
     t = Transducer("plain")
-    t.arcs |= {("plain", "report"): ("said", "report"), ("plain", "quote"): ("open", "quote"), ("open", "quote"): ("plain", "quote"), ("said", "quote"): ("both", "quote"), ("both", "quote"): ("said", "quote"), ("open", "report"): ("both", "report")}
+    for a, x, b in (("plain", "report", "said"), ("plain", "quote", "open"), ("open", "quote", "plain"), ("said", "quote", "both"), ("both", "quote", "said"), ("open", "report", "both")):
+        t.arcs[a, x] = (b, x, 0.0)
     for state in ("said", "open", "both"):
         for x in ("insult", "threat", "insult~", "threat~"):
-            t.arcs[state, x] = (state, f"{x}'")
+            t.arcs[state, x] = (state, f"{x}'", 0.0)
     return t
 
 
 def aim() -> Transducer:
-    """Adds + to insults and threats after a target; a later target is found by reading the clause backwards."""
-    t = Transducer(False)
-    t.arcs[False, "target"] = (True, "target")
-    for x in ("insult", "threat"):
-        for mark in ("", "~", "'", "~'"):
-            t.arcs[True, x + mark] = (True, f"{x}{mark}+")
+    """Adds + to insults and threats after a target; a target after one without + is written as that one's, with >."""
+    t = Transducer("")
+    t.arcs["", "target"] = ("target", "target", 0.0)
+    for x in _MARKED:
+        t.arcs["target", x] = ("target", f"{x}+", 0.0)
+        t.arcs["", x] = (x, x, 0.0)
+        t.arcs[x, "target"] = ("target", f"{x}>", 0.0)
+        for y in _MARKED:
+            t.arcs[x, y] = (y, y, 0.0)
     return t
 
 
-GRAMMAR = compose(negation(), report(), SYMBOLS)
-AIM = aim()
-#: Patterns a clause can match, as the model's features.
-PATTERNS = [f"{x}{n}{r}{a}" for x in ("insult", "threat") for n in ("", "~") for r in ("", "'") for a in ("", "+")]
+GRAMMAR = compose(compose(negation(), report(), SYMBOLS), aim(), SYMBOLS)
+#: Patterns that a clause can match.
+PATTERNS = [x + a for x in _MARKED for a in ("", "+", ">")]
 _PLACE = {p: i for i, p in enumerate(PATTERNS)}
+#: What the weights of arcs are pulled to; patterns that no labelled text holds keep it.
+PRIOR = [(0.5 if p.endswith(">") else 1.0) * (0.25 if "~" in p or "'" in p else 1.0) for p in PATTERNS]
 
 
-def _pattern(symbols: list[str]) -> list[tuple[int, str]]:
-    """(place, pattern) of the matches in one clause."""
-    state, out = GRAMMAR.start, []
-    for x in symbols:
-        state, y = GRAMMAR.step(state, x)
-        out.append(y)
-    ahead, behind, left, right = AIM.start, AIM.start, [], []
-    for y in out:
-        ahead, z = AIM.step(ahead, y)
-        left.append(z)
-    for y in reversed(out):
-        behind, z = AIM.step(behind, y)
-        right.append(z)
-    both = [a if a.endswith("+") else b for a, b in zip(left, reversed(right), strict=True)]
-    return [(k, z) for k, z in enumerate(both) if z in _PLACE]
+def weighing(weights: list[float]) -> Transducer:
+    """Passes everything on, with a weight for each pattern."""
+    return Transducer(0, {(0, p): (0, p, w) for p, w in zip(PATTERNS, weights, strict=True)})
+
+
+def weighted_grammar(weights: list[float]) -> Transducer:
+    return compose(GRAMMAR, weighing(weights), SYMBOLS)
 
 
 class Lexicon:
-    """The lexical transducer: words to symbols, with the weights of insults."""
+    """The lexical transducer: words to symbols, with the weights of insults and threats."""
 
-    def __init__(self, weights: dict[str, float]):
+    def __init__(self, weights: dict[str, float], threats: frozenset[str] = frozenset()):
         self.words = {w: x for w, x in weights.items() if not w.endswith("*")}
         self.stems = {w[:-1]: x for w, x in weights.items() if w.endswith("*")}
+        self.threats = threats
         self.fixed = {w: s for s, ws in (("report", REPORTS), ("not", NEGATIONS), ("target", TARGETS), ("threat", THREATS)) for w in ws.split()}
         self.memo: dict[str, tuple[str, float]] = {}
 
@@ -147,56 +150,80 @@ class Lexicon:
         if got is None:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            weight = max([self.words.get(word, 0.0), *(self.stems.get(word[:n], 0.0) for n in STEMS if len(word) > n)])
-            got = ("insult", weight) if weight else (self.fixed.get(word, "word"), 1.0) if word not in _QUOTE else ("quote", 0.0)
+            weight, at = max([(self.words.get(word, 0.0), word), *((self.stems.get(word[:n], 0.0), f"{word[:n]}*") for n in STEMS if len(word) > n)])
+            got = ("threat" if at in self.threats else "insult", weight) if weight else (self.fixed.get(word, "word"), 1.0) if word not in _QUOTE else ("quote", 0.0)
             self.memo[word] = got
         return got
 
-    def features(self, text: str | None) -> list[float] | None:
-        """Summed weights by pattern and the largest weight; None if no pattern matches."""
-        if not text:
-            return None
-        tokens = _TOKEN.findall(text.lower())
+    def clauses(self, text: str | None) -> Iterator[list[tuple[str, float]]]:
+        """The symbols of each clause that holds an insult or a threat, with their weights."""
+        tokens = _TOKEN.findall(text.lower()) if text else []
         read = self.read
         kinds = {t: read(t) for t in set(tokens)}
-        if not any(k[0] in ("insult", "threat") for k in kinds.values()):
-            return None
-        sums = [0.0] * (len(PATTERNS) + 1)
+        hot = {t for t, k in kinds.items() if k[0] in ("insult", "threat")}
+        if not hot:
+            return
         begin = 0
         for i in range(len(tokens) + 1):
             if i < len(tokens) and tokens[i] not in _CLAUSE_END:
                 continue
-            clause = [kinds[t] for t in tokens[begin:i]]
+            if not hot.isdisjoint(tokens[begin:i]):
+                yield [kinds[t] for t in tokens[begin:i]]
             begin = i + 1
-            if any(k[0] in ("insult", "threat") for k in clause):
-                for k, pattern in _pattern([c[0] for c in clause]):
-                    sums[_PLACE[pattern]] += clause[k][1]
-                    sums[-1] = max(sums[-1], clause[k][1])
+
+    def patterns(self, text: str | None) -> list[float] | None:
+        """Summed weights by pattern; None if no pattern matches."""
+        sums = [0.0] * len(PATTERNS)
+        for clause in self.clauses(text):
+            state = GRAMMAR.start
+            for x, w in clause:
+                state, y, _ = GRAMMAR.step(state, x)
+                if y in _PLACE:
+                    sums[_PLACE[y]] += w
         return sums if any(sums) else None
 
+    def scores(self, text: str | None, grammar: Transducer) -> tuple[float, float]:
+        """The best clause score of a text, and the sum of those above zero."""
+        best = total = 0.0
+        for clause in self.clauses(text):
+            state, score = grammar.start, 0.0
+            for x, w in clause:
+                state, _, arc = grammar.step(state, x)
+                score += arc * w
+            best, total = max(best, score), total + max(0.0, score)
+        return best, total
+
 
 @dataclass(frozen=True)
 class Model:
+    """Weights of learned words, those of them that are threats, weights of the grammar's arcs, and the logistic model over (1, best, sum)."""
+
     weights: dict[str, float]
     beta: list[float]
+    arcs: list[float] = field(default_factory=lambda: [1.0] * len(PATTERNS))
+    threats: frozenset[str] = frozenset()
 
-    def scores(self, texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
-        rows = [lexicon.features(t) for t in texts]
-        x = np.zeros((len(rows), len(PATTERNS) + 2))
-        x[:, 0] = 1
-        for i, r in enumerate(rows):
-            if r:
-                x[i, 1:] = np.log1p(r)
+    def lexicon(self) -> Lexicon:
+        return Lexicon(self.weights, self.threats)
+
+    def scores(self, texts: list[str | None], lexicon: Lexicon, grammar: Transducer) -> np.ndarray:
+        x = _design([lexicon.scores(t, grammar) for t in texts])
         return 1 / (1 + np.exp(-np.clip(x @ np.array(self.beta), -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
-    """Newton's method with a ridge on all but the intercept."""
+def _design(scores: list[tuple[float, float]]) -> np.ndarray:
+    found = np.array(scores, float).reshape(-1, 2)
+    return np.c_[np.ones(len(found)), found[:, 0], np.log1p(found[:, 1])]
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50, prior: np.ndarray | float = 0.0) -> np.ndarray:
+    """Newton's method with a ridge that pulls all but the intercept to a prior."""
     beta, pull = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    prior = np.broadcast_to(prior, beta.shape)
     pull[0] = 1e-3
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (p - y) + pull * beta
+        grad = x.T @ (p - y) + pull * (beta - prior)
         step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(pull), grad)
         beta = beta - step
         if np.abs(step).max() < 1e-8:
@@ -213,9 +240,11 @@ def _grown(word: str) -> list[str]:
 
 
 def _positive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of toxic texts: documents and context hashes by feature."""
+    """Of toxic texts: documents, context hashes, occurrences, and those before a target, by feature."""
     docs: dict[str, int] = {}
     contexts: dict[str, set[int]] = {}
+    uses: dict[str, list[int]] = {}
+    targets = frozenset(TARGETS.split())
     for batch in batches:
         for text in batch.column(0).to_pylist():
             ws = ["", *_words(text), ""]
@@ -225,9 +254,12 @@ def _positive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for f in _grown(ws[k]):
                     seen.add(f)
                     contexts.setdefault(f, set()).add(around)
+                    n = uses.setdefault(f, [0, 0])
+                    n[0] += 1
+                    n[1] += ws[k + 1] in targets
             for f in seen:
                 docs[f] = docs.get(f, 0) + 1
-    yield pa.RecordBatch.from_arrays([pa.array(list(docs), pa.string()), pa.array(list(docs.values()), pa.int64()), pa.array([list(contexts[f]) for f in docs], pa.list_(pa.int64()))], ["f", "n", "around"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(docs), pa.string()), pa.array(list(docs.values()), pa.int64()), pa.array([list(contexts[f]) for f in docs], pa.list_(pa.int64())), pa.array([uses[f][0] for f in docs], pa.int64()), pa.array([uses[f][1] for f in docs], pa.int64())], ["f", "n", "around", "uses", "aimed"])
 
 
 def hash_of(*words: str) -> int:
@@ -251,56 +283,72 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     n_pos, n_neg = counts.get(1, 0), counts.get(0, 0)
     if not n_pos or not n_neg:
         share = (n_pos + 1e-3) / (n_pos + n_neg + 2e-3)
-        return Model({}, [float(np.log(share / (1 - share))), *[0.0] * (len(PATTERNS) + 1)])
-    stats = rows.where("toxic = 1").select("text").mapInArrow(lean(_positive), "f string, n bigint, around array<bigint>")
-    stats = stats.groupBy("f").agg(F.sum("n").alias("pos"), F.size(F.array_distinct(F.flatten(F.collect_list("around")))).alias("contexts"))
-    found = {r.f: r.pos for r in stats.where(F.col("contexts") >= CONTEXTS).select("f", "pos").toLocalIterator()}  # of at most `sample` texts
+        return Model({}, [float(np.log(share / (1 - share))), 0.0, 0.0])
+    stats = rows.where("toxic = 1").select("text").mapInArrow(lean(_positive), "f string, n bigint, around array<bigint>, uses bigint, aimed bigint")
+    stats = stats.groupBy("f").agg(F.sum("n").alias("pos"), F.size(F.array_distinct(F.flatten(F.collect_list("around")))).alias("contexts"), (F.sum("aimed") / F.sum("uses")).alias("aimed"))
+    stats = save(stats.where(F.col("contexts") >= CONTEXTS).select("f", "pos", "aimed"), "words")
 
     def negative(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs_: dict[str, int] = {}
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                for f in {f for w in set(_words(t)) for f in _grown(w) if f in found}:
+                for f in {f for w in set(_words(t)) for f in _grown(w)}:
                     docs_[f] = docs_.get(f, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(docs_), pa.string()), pa.array(list(docs_.values()), pa.int64())], ["f", "n"])
 
-    against = {r.f: r.neg for r in rows.where("toxic = 0").select("text").mapInArrow(lean(negative), "f string, n bigint").groupBy("f").agg(F.sum("n").alias("neg")).toLocalIterator()}
-    weights = {}
-    for f, pos in found.items():
-        odds = float(np.log((pos + 0.5) / (n_pos + 1)) - np.log((against.get(f, 0) + 0.5) / (n_neg + 1)))
-        if odds >= ODDS:
-            weights[f] = odds
+    # Spark joins the counts; only words that pass leave it, and these are rare even in the sample.
+    against = rows.where("toxic = 0").select("text").mapInArrow(lean(negative), "f string, n bigint").groupBy("f").agg(F.sum("n").alias("neg"))
+    odds = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.coalesce("neg", F.lit(0)) + 0.5) / (n_neg + 1))
+    learned = stats.join(against, "f", "left").withColumn("odds", odds).where(F.col("odds") >= ODDS).select("f", "odds", "aimed").collect()
+    weights = {r.f: r.odds for r in sorted(learned, key=lambda r: r.f)}
+    threats = frozenset(r.f for r in learned if r.aimed > 0.5)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(weights)
+        lexicon = Lexicon(weights, threats)
         for batch in batches:
-            got = [lexicon.features(t) for t in batch.column(0).to_pylist()]
+            got = [lexicon.patterns(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
-    # Rows without a match differ in their label alone, so they are counted; the others are at most `sample`.
-    got = rows.mapInArrow(lean(featured), "x array<double>, toxic int")
-    lists = got.where("x is not null").collect()
-    empty = {r.toxic: r["n"] for r in got.where("x is null").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    x = np.zeros((len(lists) + sum(empty.values()), len(PATTERNS) + 2))
-    x[:, 0] = 1
-    if lists:
-        x[: len(lists), 1:] = np.log1p(np.array([r.x for r in lists]))
-    y = np.array([*(r.toxic for r in lists), *(t for t, n in sorted(empty.items()) for _ in range(n))], float)
-    return Model(weights, fit_logistic(x, y).tolist())
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, grammar = Lexicon(weights, threats), weighted_grammar(arcs)
+        for batch in batches:
+            got = [lexicon.scores(t, grammar) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x if any(x) else None for x in got], pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
+
+    def fitted(step, width: int) -> tuple[np.ndarray, np.ndarray]:
+        # Rows without a match differ in their label alone, so they are counted; the others are at most `sample`.
+        got = save(rows.mapInArrow(lean(step), "x array<double>, toxic int"), "features")
+        lists = got.where("x is not null").collect()
+        empty = {r.toxic: r["n"] for r in got.where("x is null").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+        forget(got)
+        x = np.zeros((len(lists) + sum(empty.values()), width))
+        if lists:
+            x[: len(lists)] = [r.x for r in lists]
+        return x, np.array([*(r.toxic for r in lists), *(t for t, n in sorted(empty.items()) for _ in range(n))], float)
+
+    # First the arcs: what a pattern's summed weight says; then the text: its best clause and their sum.
+    x, y = fitted(featured, len(PATTERNS))
+    arcs = fit_logistic(np.c_[np.ones(len(x)), np.log1p(x)], y, prior=np.r_[0.0, PRIOR])[1:].tolist()
+    x, y = fitted(scored, 2)
+    model = Model(weights, fit_logistic(_design(x.tolist()), y).tolist(), arcs, threats)
+    for t in (chosen, rows, stats):
+        forget(t)
+    return model
 
 
 def toxicity(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add score (0 to 1) and predicted (score >= 0.5) to every row; columns of these names are replaced.
 
-    Null and empty texts get the score of a text without matches. Repeated rows stay.
+    Null and empty texts get the score of a text without matches. Whole texts are
+    read, however long. Repeated rows stay; an empty table gives an empty one.
     """
     df = without(df, ("score", "predicted"))
     schema = df.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(model.weights)
+        lexicon, grammar = model.lexicon(), weighted_grammar(model.arcs)
         for batch in batches:
-            scores = model.scores(batch.column(batch.schema.names.index(text)).to_pylist(), lexicon)
+            scores = model.scores(batch.column(batch.schema.names.index(text)).to_pylist(), lexicon, grammar)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
     return df.mapInArrow(lean(run), schema)
