@@ -37,7 +37,8 @@ def pairs(turns: DataFrame, pair: str = "pair_id", side: str = "side", turn: str
     or side are left out; a null role is 'user', a null text empty. Of rows
     repeated for one pair, side and turn the smallest (role, text) counts. If one
     side is a prefix of the other its completion is empty; equal sides give two
-    empty completions. Other columns are ignored.
+    empty completions. Other columns are ignored, whatever their names; whole texts
+    are rendered, however long; an empty table gives an empty result.
     """
     rows = turns.select(F.col(pair).alias("pair_id"), F.col(side).alias("side"), F.col(turn).alias("turn"), F.struct(F.coalesce(role, F.lit("user")).alias("role"), F.coalesce(text, F.lit("")).alias("text")).alias("said"))
     rows = rows.where("pair_id is not null and turn is not null and side in ('chosen', 'rejected')")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 _own_dir: list[str] = []
+#: What save() has written inside each open temporary().
+_open: list[list] = []
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -29,32 +34,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session may go without it (tests); it gets a folder of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="siftline-"))
-    return _own_dir[0]
+        _own_dir.append(tempfile.mkdtemp(prefix="siftline-"))
+        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
+    return "file://" + _own_dir[0]
 
 
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Write a table into the shared folder and read it back: this cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    for block in _open:
+        block.append((spark, path))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._siftline_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def forget(df: DataFrame | None) -> None:
     """Delete a table written by save() that nothing reads any more."""
     path = getattr(df, "_siftline_path", None)
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """On the way out delete all tables saved inside but the last: for a block that ends by saving its result."""
+    saved: list[tuple[SparkSession, str]] = []
+    _open.append(saved)
+    try:
+        yield
+    finally:
+        _open.pop()
+        for spark, path in saved[:-1]:
+            _delete(spark, path)
 
 
 #: Rows of keys that are sent to every executor, at most (some 50 MB).
@@ -72,6 +99,14 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold_of(doc_id: str, k: int) -> F.Column:
     """crc32 of the id as text, modulo k; null ids get null."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(k)
@@ -102,14 +137,23 @@ def int_lists(column: pa.ListArray) -> list[list[int] | None]:
     return out
 
 
+#: By module, how to drop what it keeps in a worker.
+kept: dict[str, Callable[[], None]] = {}
+
+
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """The same step of mapInArrow, with a worker that gives freed memory back when a task ends.
 
     Workers are reused by all later stages; what their allocators hold on to
-    would add up over a pipeline.
+    would add up over a pipeline. What a module keeps between tasks (kept) goes
+    when a task of another module begins.
     """
 
     def wrapped(batches: Iterator) -> Iterator:
+        from siftline.llm.common import kept  # the worker's own, not a copy that came with this function
+
+        for module in [m for m in kept if m != run.__module__]:
+            kept.pop(module)()
         try:
             yield from run(batches)
         finally:

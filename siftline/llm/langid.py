@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import fold_of, lean, mix64, runs, table, without
 
 DIM, ORDER = 1024, 3
-#: More learned languages than this is an error, not a silent cut: they go to the driver.
+#: Prototypes go to the driver and to every worker, 8 KB each; more of them than this is an error, not a silent cut.
 MAX_LANGUAGES = 2000
 #: Letters handled at once; bounds the count matrix, not the text.
 CHUNK_CHARS, CHUNK_CELLS = 300_000, 2_000_000
@@ -122,8 +122,12 @@ class Profiles:
         return [UND if z else self.langs[k] for z, k in zip(none, best, strict=True)], np.where(none, 0.0, np.clip(cos[np.arange(len(texts)), best], 0, 1))
 
 
-def learn(df: DataFrame, text: str = "text", lang: str = "lang", dim: int = DIM) -> Profiles:
-    """Prototypes of all rows with text and a language. Rows with null or letterless text add nothing."""
+def learn(df: DataFrame, text: str = "text", lang: str = "lang", dim: int = DIM, most: int = MAX_LANGUAGES) -> Profiles:
+    """Prototypes of all rows with text and a language. Rows with null or letterless text add nothing.
+
+    Over `most` distinct languages raise a ValueError: such a column holds
+    something else. An empty table gives no prototype.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -145,9 +149,9 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", dim: int = DIM)
     parts = rows.mapInArrow(lean(add), "lang string, v array<bigint>").select("lang", F.posexplode("v").alias("i", "x"))
     summed = parts.groupBy("lang", "i").agg(F.sum("x").alias("x"))
     per = summed.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
-    found = sorted(((r.lang, [y.x for y in r.v]) for r in per.limit(MAX_LANGUAGES + 1).toLocalIterator()), key=lambda r: r[0])
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages: the language column holds something else")
+    found = sorted(((r.lang, [y.x for y in r.v]) for r in per.limit(most + 1).toLocalIterator()), key=lambda r: r[0])
+    if len(found) > most:
+        raise ValueError(f"over {most} languages: the language column holds something else")
     found = [(name, np.array(v, float)) for name, v in found]
     found = [(name, v) for name, v in found if v.any()]
     rows_ = np.array([v / np.sqrt((v**2).sum()) for _, v in found]).reshape(len(found), dim)

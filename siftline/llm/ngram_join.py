@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, lean, mix64, runs, save, small, table
+from .common import forget, fresh, lean, mix64, runs, save, small, table
 from .components import TASK, Gathered, by_task, connected_components, deal, pairs_within, roots, whole_groups
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -319,7 +319,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     by links. Null, empty and wordless texts link with nothing and are their own
     class (node null). Repeated rows are copies of each other. A null doc_id
     sorts last. Ties need no rule: classes are components. Other columns of the
-    input are ignored. doc_id must be an integer column.
+    input are ignored, whatever their names. doc_id must be an integer column.
+    Whole texts are compared, however long; an empty table gives an empty result.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), words_of(F.col(text)).alias("words"))
     keyed = rows.select("doc_id", "text_key", F.when(F.col("words") != "", F.unhex(F.md5("words"))).alias("node_"), "words")
@@ -373,11 +374,13 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how:
     # What a class loses is far less than what stays; of one node several texts can share the smallest id, and rows can repeat.
     fate = found.groupBy("doc_id", "text_key", "node").agg(F.count(F.lit(1)).alias("n"), F.bool_and(chosen).alias("chosen"))
     one = fate.where("chosen").groupBy("node").agg(F.min("text_key").alias("first_key"))
-    fate = fate.join(one, "node", "left").select(F.col("doc_id").alias("out_id_"), F.col("text_key").alias("out_key_"), (F.col("chosen") & (F.col("text_key") == F.col("first_key"))).alias("keep"), "n")
+    out_id, out_key, own_id, own_key = (fresh(docs, c) for c in ("out_id_", "out_key_", "id_", "key_"))
+    fate = fate.join(one, "node", "left").select(F.col("doc_id").alias(out_id), F.col("text_key").alias(out_key), (F.col("chosen") & (F.col("text_key") == F.col("first_key"))).alias("keep"), "n")
     fate = save(fate.where("not keep or keep is null or n > 1"), "fate")
-    at = (id_ == F.col("out_id_")) & (key == F.col("out_key_"))
-    single = docs.join(small(fate.select("out_id_", "out_key_")), at, "left_anti").select(*docs.columns)
-    repeated = docs.withColumns({"id_": id_, "key_": key}).join(small(fate.where("keep").select("out_id_", "out_key_")), at).dropDuplicates(["id_", "key_"]).select(*docs.columns)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed, at = docs.withColumns({own_id: id_, own_key: key}), (F.col(own_id) == F.col(out_id)) & (F.col(own_key) == F.col(out_key))
+    single = keyed.join(small(fate.select(out_id, out_key)), at, "left_anti").select(*columns)
+    repeated = keyed.join(small(fate.where("keep").select(out_id, out_key)), at).dropDuplicates([own_id, own_key]).select(*columns)
     return single.union(repeated)
 
 

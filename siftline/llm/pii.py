@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, lean, runs, save, table, without
+from .common import forget, fresh, lean, runs, save, table, without
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring, seeds a pattern needs, smoothing of its confidence, score from which an instance counts.
@@ -231,12 +231,13 @@ def find_personal_data(df: DataFrame, text: str = "text") -> DataFrame:
     an empty table gives an empty one. Whole texts are read, in time linear in
     their length; of words over 64 characters the hash is the pattern.
     """
-    df = without(df, ("base", "spans", "pii_key_"))
+    df = without(df, ("base", "spans"))
     t = F.coalesce(F.col(text), F.lit(""))
-    keyed = df.withColumn("pii_key_", F.unhex(F.md5(t)))
-    copies = save(keyed.groupBy(F.col("pii_key_").alias("copy_key_")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
-    counted = keyed.select("pii_key_", t.alias("t")).join(copies, F.col("pii_key_") == F.col("copy_key_"), "left")
-    scan = save(counted.select("pii_key_", "t", F.coalesce("copies", F.lit(1)).alias("copies")).mapInArrow(lean(_scan), _SCAN).withColumn("is_word", F.col("word").isNotNull()), "scan")
+    own, key = fresh(df, "pii_key_"), fresh(df, "span_key_")
+    keyed = df.withColumn(own, F.unhex(F.md5(t)))
+    copies = save(keyed.groupBy(F.col(own).alias("copy_key_")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
+    counted = keyed.select(F.col(own).alias("text_key_"), t.alias("t")).join(copies, F.col("text_key_") == F.col("copy_key_"), "left")
+    scan = save(counted.select("text_key_", "t", F.coalesce("copies", F.lit(1)).alias("copies")).mapInArrow(lean(_scan), _SCAN).withColumn("is_word", F.col("word").isNotNull()), "scan")
     words = save(scan.where("is_word and word != ''").groupBy(F.col("word").alias("pattern")).agg(F.round(F.sum(F.col("n") / F.col("copies"))).cast("bigint").alias("total")), "words")
     # Equal texts are one text to the graph: a copied seed is no further evidence.
     texts = scan.where("not is_word and size(occ) > 0").dropDuplicates(["key"]).select("key", F.explode("occ").alias("o")).select("key", "o.*")
@@ -248,7 +249,7 @@ def find_personal_data(df: DataFrame, text: str = "text") -> DataFrame:
     spans = save(spans.mapInArrow(lean(_merged), "span_key_ binary, base array<struct<kind:string,start:int,end:int>>, spans array<struct<kind:string,start:int,end:int>>"), "spans")
     for t_ in (copies, words, texts, scan):
         forget(t_)
-    return keyed.join(spans, F.col("pii_key_") == F.col("span_key_")).drop("pii_key_", "span_key_")
+    return keyed.join(spans.withColumnRenamed("span_key_", key), F.col(own) == F.col(key)).drop(own, key)
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

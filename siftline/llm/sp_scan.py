@@ -21,19 +21,22 @@ units are encoded once and remembered.
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import concat
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, int_lists, lean, save, table, without
+from .common import forget, fresh, int_lists, kept, lean, save, table, without
 
 #: Where the model lies; never copied into the repository.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK, MEMO = 32_768, 300_000
+CHUNK, MEMO = 32_768, 200_000
 #: Chunks whose matrices one task combines; the spans of a text are combined by the next.
 SPAN = 64
 NEG = float("-inf")
@@ -43,8 +46,6 @@ MARK, SPACE = "\u2581", " "
 #: FREE is the state at a text's ends and where units meet: any piece may follow.
 State = tuple[int, int]
 FREE: State = (1 << 40, 0)
-_ONE = (1,)
-_UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 def _varints(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -97,18 +98,22 @@ class Model:
         self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         #: No piece has a space mark after another character: then units stand alone.
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        #: Units: a word with the spaces before it, cut once more where a sign follows a letter and no piece holds the two side by side.
+        signs = {x for x in string.punctuation if sum(p[1] == x and p[0].isalpha() for p in self.inside) <= 20}
+        odd = {p[0] for p in self.inside if p[1] in signs and re.match(r"[^\W\d_]", p[0])}
+        after, sign = f"(?<![^\\W\\d_{re.escape(''.join(sorted(odd)))}])", re.escape("".join(sorted(signs)))
+        plain, mixed = f"{SPACE}*[^{SPACE}{sign}]++(?![{sign}])", f"{SPACE}*[^{SPACE}](?:[^{SPACE}{sign}]++|{after}[{sign}])*+"
+        self.units = re.compile(f"{plain}|{mixed}|{SPACE}+" if signs else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         #: Units by text: the latest, and those before them, so that frequent ones last.
         self.memo: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
-        #: Lengths of the pieces, longest first, by the first four characters, or three, or two.
-        by: dict[str, set[int]] = {}
-        for piece in self.ids:
-            for k in (2, 3, 4):
-                if len(piece) >= k:
-                    by.setdefault(piece[:k], set()).add(len(piece))
-        for prefix, sizes in by.items():
-            sizes |= {k for k in range(1, len(prefix)) if k == 1 or prefix[:k] in self.ids}
-        self.lengths = {prefix: sorted(sizes, reverse=True) for prefix, sizes in by.items()}
+        #: Finds all pieces of two characters or more in a text in one pass.
+        self.finder = ahocorasick.Automaton()
+        for piece, i in self.ids.items():
+            if len(piece) > 1:
+                self.finder.add_word(piece, (len(piece) - 1, i))
+        if len(self.finder):
+            self.finder.make_automaton()
         if self.kind == 2:
             order = sorted(self.ids.values(), key=lambda i: (-self.score[i], i))
             self.rank = {i: r for r, i in enumerate(order)}
@@ -233,29 +238,37 @@ class Model:
 
     def unit(self, text: str) -> tuple[int, ...]:
         """The pieces of a text that stands alone, remembered."""
-        got = self.memo.get(text)
+        got = self.memo.get(text) or self.older.get(text)
         if got is None:
-            got = self.older.get(text)
-            if got is None:
-                parts = self.breaks(text)
-                if len(parts) > 1:
-                    got = tuple([i for p in parts for i in self.unit(p)])
-                elif self.kind == 2:
-                    got = tuple(self.first_path(text))
-                else:
-                    _, back = self.forward(text, 0, len(text), FREE[0])
-                    got = tuple(self.trace(back, 0, len(text)))
-            if len(text) <= 64:
-                if len(self.memo) >= MEMO:
-                    self.older, self.memo = self.memo, {}
-                self.memo[text] = got
+            parts = self.breaks(text)
+            got = tuple([i for p in parts for i in self.part(p)]) if len(parts) > 1 else tuple(self.alone(text))
+        return self.remember(text, got)
+
+    def part(self, text: str) -> tuple[int, ...]:
+        """unit() of a text that breaks() has cut out."""
+        return self.memo.get(text) or self.remember(text, self.older.get(text) or tuple(self.alone(text)))
+
+    def alone(self, text: str) -> list[int]:
+        if self.kind == 2:
+            return self.first_path(text)
+        _, back = self.forward(text, 0, len(text), FREE[0])
+        return self.trace(back, 0, len(text))
+
+    def remember(self, text: str, got: tuple[int, ...]) -> tuple[int, ...]:
+        if len(text) <= 64:
+            if len(self.memo) >= MEMO:
+                self.older, self.memo = self.memo, {}
+            self.memo[text] = got
         return got
 
     def breaks(self, text: str) -> list[str]:
         """A text cut where two characters meet that no piece holds side by side: no path crosses there, in any model."""
-        inside, out, at = self.inside, [], 0
-        for k in range(1, len(text)):
-            if text[k - 1 : k + 1] not in inside:
+        inside = self.inside
+        if inside.issuperset(map(concat, text, text[1:])):
+            return [text]
+        out, at = [], 0
+        for k, pair in enumerate(map(concat, text, text[1:]), 1):
+            if pair not in inside:
                 out.append(text[at:k])
                 at = k
         out.append(text[at:])
@@ -267,36 +280,46 @@ class Model:
         No other path has that weight, and a place is reached by one path at
         most, so a place that led nowhere once needs no second visit: linear.
         """
-        get, ok, lengths, n = self.ids.get, self.fits.get, self.lengths.get, len(text)
+        ok, ids, n = self.fits.get, self.ids, len(text)
+        starting: list[list[tuple[int, int]] | None] = [None] * n
+        if n > 1 and len(self.finder):
+            for last, (before, i) in self.finder.iter(text):
+                at = last - before
+                if starting[at] is None:
+                    starting[at] = [(last + 1, i)]
+                else:
+                    starting[at].append((last + 1, i))
         out: list[int] = []
         ends: list[int] = []
         dead: set[int] = set()
         at, prev, below = 0, -1, n + 1
         while at < n:
-            for size in lengths(text[at : at + 4]) or lengths(text[at : at + 3]) or lengths(text[at : at + 2]) or _ONE:
-                end = at + size
-                if end >= below or (dead and end in dead):
-                    continue
-                i = get(text[at:end])
-                if i is None:
-                    if size > 1:
+            found = starting[at]
+            if found is not None:
+                for end, i in reversed(found):
+                    if end >= below or end in dead:
                         continue
+                    if prev < 0:
+                        break
+                    fit = ok(prev << 24 | i)
+                    if fit or (fit is None and self._fit_anew(prev, i)):
+                        break
+                else:
+                    found = None
+            if found is None:
+                end = at + 1
+                i = ids.get(text[at], -1)
+                if i < 0:
                     i = -1 - ord(text[at])
-                    break
-                if prev < 0:
-                    break
-                fit = ok(prev << 24 | i)
-                if fit or (fit is None and self._fit_anew(prev, i)):
-                    break
-            else:
-                dead.add(at)
-                if not out:
-                    raise ValueError("no path through the lattice")
-                out.pop()
-                below = ends.pop()
-                at = ends[-1] if ends else 0
-                prev = out[-1] if out else -1
-                continue
+                if end >= below or end in dead or (i >= 0 and prev >= 0 and self.fit(prev, i) == NEG):
+                    dead.add(at)
+                    if not out:
+                        raise ValueError("no path through the lattice")
+                    out.pop()
+                    below = ends.pop()
+                    at = ends[-1] if ends else 0
+                    prev = out[-1] if out else -1
+                    continue
             out.append(i)
             ends.append(end)
             at, prev, below = end, i, n + 1
@@ -308,7 +331,7 @@ class Model:
             return list(self.unit(text))
         out: list[int] = []
         memo = self.memo
-        for u in _UNITS.findall(text):
+        for u in self.units(text):
             out += memo.get(u) or self.unit(u)
         return out
 
@@ -470,6 +493,7 @@ class Model:
 
 @lru_cache(2)
 def model(path: str) -> Model:
+    kept[__name__] = model.cache_clear
     return Model(path)
 
 
@@ -605,9 +629,11 @@ def encode(df: DataFrame, text: str = "text", path: str = MODEL, chunk: int = CH
 
     Null gives null, an empty text an empty array. Columns named token_ids are
     replaced; repeated rows stay, each with its ids. Ties between paths cannot
-    occur in BPE; in a unigram lattice the longer last piece wins.
+    occur in BPE; in a unigram lattice the longer last piece wins. Texts of any
+    length are encoded whole; an empty table gives an empty one.
     """
-    df = without(df, ("token_ids", "key_"))
+    df = without(df, ("token_ids",))
+    own, other = fresh(df, "key_"), fresh(df, "ids_key_")
     size = F.coalesce(F.length(text), F.lit(0))
     small, giant = df.where(size <= chunk), df.where(size > chunk)
     schema = T.StructType([*df.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
@@ -621,8 +647,8 @@ def encode(df: DataFrame, text: str = "text", path: str = MODEL, chunk: int = CH
                 ids = [None if t is None else m.numbers(m.pieces(m.normal(t))) for t in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], [*part.schema.names, "token_ids"])
 
-    keyed = giant.withColumn("key_", F.unhex(F.md5(text)))
-    texts = keyed.select("key_", F.col(text).alias("t")).dropDuplicates(["key_"])
+    keyed = giant.withColumn(own, F.unhex(F.md5(text)))
+    texts = keyed.select(F.col(own).alias("key_"), F.col(text).alias("t")).dropDuplicates(["key_"])
     chunks = save(texts.mapInArrow(lean(_cut(path, chunk)), _PIECE).repartition("key", "idx"), "chunks")
     kind, found = "key binary, idx int, n int, m array<struct<s:bigint,so:int,x:bigint,xo:int,w:double>>", "key binary, idx int, s bigint, so int, x bigint, xo int"
     matrices = save(chunks.mapInArrow(lean(_matrices(path)), kind), "matrices")
@@ -635,8 +661,8 @@ def encode(df: DataFrame, text: str = "text", path: str = MODEL, chunk: int = CH
     states = save(held.mapInArrow(lean(_inside_spans), found), "states")
     forget(matrices)
     traced = chunks.join(states, ["key", "idx"]).mapInArrow(lean(_trace(path)), "key binary, idx int, ids array<int>")
-    ids = traced.groupBy(F.col("key").alias("ids_key_")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idx", "ids"))), lambda x: x["ids"])).alias("token_ids"))
-    long = keyed.join(save(ids, "ids"), F.col("key_") == F.col("ids_key_")).drop("key_", "ids_key_")
+    ids = traced.groupBy(F.col("key").alias(other)).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idx", "ids"))), lambda x: x["ids"])).alias("token_ids"))
+    long = keyed.join(save(ids, "ids"), F.col(own) == F.col(other)).drop(own, other)
     return small.mapInArrow(lean(whole), schema).unionByName(long)
 
 
@@ -649,7 +675,10 @@ def processor(path: str):
 
 
 def decode(df: DataFrame, token_ids: str = "token_ids", path: str = MODEL, to: str = "decoded") -> DataFrame:
-    """Add the decoded text: byte pieces are bytes again, space marks spaces. Null gives null, no ids an empty text."""
+    """Add the decoded text: byte pieces are bytes again, space marks spaces. Null gives null, no ids an empty text.
+
+    A column of the name `to` is replaced; repeated rows stay; an empty table gives an empty one.
+    """
     df = without(df, (to,))
     schema = T.StructType([*df.schema.fields, T.StructField(to, T.StringType())])
 

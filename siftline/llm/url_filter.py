@@ -51,7 +51,10 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: st
     The longest active pattern decides; of two with one length 'block' wins, then
     the list that sorts first. Without an active entry the decision is
     'unlisted'; a null URL, one without a host, or a null fetch time is
-    'unknown'. A host entry covers its subdomains. Repeated captures all stay.
+    'unknown'. A host entry covers its subdomains. Repeated captures all stay;
+    URLs of any length are judged whole. An empty table of captures gives an empty
+    result, without entries all captures are 'unlisted' or 'unknown'. Other
+    columns of the entries are ignored.
     """
     df = without(captures, ("decision", "list", "pattern", "url_", "at_", "best_"))
     listed = intervals(entries)

@@ -242,6 +242,18 @@ def test_encode_in_spark(spark, odd):
     assert sp_scan.encode(odd.where("false")).count() == 0
 
 
+@needs_model
+def test_a_worker_drops_the_model_for_other_operators():
+    from siftline.llm import common
+
+    sp_scan.model.cache_clear()
+    m = sp_scan.model(sp_scan.MODEL)
+    list(common.lean(sp_scan._trace(sp_scan.MODEL))(iter(())))
+    assert sp_scan.model(sp_scan.MODEL) is m and sp_scan.__name__ in common.kept
+    list(common.lean(pii._merged)(iter(())))
+    assert sp_scan.__name__ not in common.kept and sp_scan.model(sp_scan.MODEL) is not m
+
+
 def test_compose_is_associative():
     r = random.Random(3)
     matrix = lambda: {((r.randrange(3), 0), (r.randrange(3), 0)): float(r.randrange(9)) for _ in range(6)}
@@ -270,6 +282,39 @@ def test_vectors_equal_brute_force(spark):
     assert {i: got[i].component_id for i in want} == want and {i: got[i].n_links for i in want} == {i: sum(i in x for x in links) for i in want}
     assert all(r.kept == (r.vec_id == r.component_id) for i, r in got.items() if i is not None)
     assert embed_dedup.near_vectors(df.where("false")).count() == 0
+    clash = df.withColumns({c: F.lit("clash") for c in ("n_links", "component_id", "kept", "v", "key2", "node", "copies", "pass", "part")})
+    assert {tuple(r) for r in embed_dedup.near_vectors(clash.where("vec_id < 40")).collect()} == {tuple(r) for r in embed_dedup.near_vectors(df.where("vec_id < 40")).collect()}
+
+
+def test_windows_do_not_depend_on_partitions():
+    assert embed_dedup.handed_on({0: 10, 1: 3, 2: 0, 3: 2, 4: 9}, 4) == [(1, 0, 4), (3, 1, 3), (3, 0, 1), (4, 3, 2), (4, 1, 2)]
+    g = np.random.default_rng(5)
+    a, b = g.integers(0, 1 << 60, 500), g.integers(0, 1 << 60, 500)
+    b[:200] = a[:200] ^ (np.int64(1) << g.integers(0, 60, 200))
+    want = [next((k for k in range(60) if (int(x) >> (59 - k)) & 1 != (int(y) >> (59 - k)) & 1), 60) for x, y in zip(a, b, strict=True)]
+    assert embed_dedup.shared_bits(a, b).tolist() == want and (embed_dedup.shared_bits(a, a) == 60).all()
+
+
+def test_bound_of_a_pass():
+    key = np.sort(np.random.default_rng(6).integers(0, 1 << 60, 300))
+    miss = embed_dedup.log_miss(np.zeros(300, int), key, 8, 0.98)
+    assert (miss[:8] == 0).all() and (miss[-8:] == 0).all() and (miss[8:-8] < 0).all()
+    assert (embed_dedup.log_miss(np.zeros(300, int), np.zeros(300, np.int64), 8, 0.98) == 0).all()  # a window of equal keys alone bounds nothing
+    assert embed_dedup.log_miss(np.arange(300) // 5, key, 8, 0.98)[8] < -10  # its label ends on both sides of the window
+
+
+def test_recall_on_a_dense_label(spark):
+    """Planted pairs just above the threshold, among vectors that share a direction."""
+    g, n, k, d = np.random.default_rng(1), 4000, 200, 64
+    x = g.normal(size=(n, d))
+    x = 0.3 * x / np.linalg.norm(x, axis=1)[:, None] + 0.95 * np.eye(d)[0]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z = g.normal(size=(k, d))
+    z -= (z * x[:k]).sum(1)[:, None] * x[:k]
+    x = np.vstack([x, 0.9805 * x[:k] + np.sqrt(1 - 0.9805**2) * z / np.linalg.norm(z, axis=1)[:, None]])
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_vectors(spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")).collect()}
+    want = (x @ x.T >= 0.98).sum(1) - 1
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.99 * want.sum() > 0
 
 
 # ---- 5
@@ -366,6 +411,13 @@ def test_list_intervals(spark):
     assert url_filter.judge(c.where("false"), e).count() == 0 and {r.decision for r in url_filter.judge(c, e.where("false")).collect()} == {"unlisted", "unknown"}
 
 
+def test_captures_with_clashing_columns(spark):
+    e = spark.createDataFrame([("l", "block", "host", "bad.com", "add", "x")], "list string, verdict string, kind string, pattern string, action string, url string").withColumns({"dated": F.timestamp_seconds(F.lit(1)), "fetched": F.lit("clash")})
+    c = spark.createDataFrame([(1, "http://bad.com/" + "y" * 100_000)], "id int, url string").withColumns({"fetched": F.timestamp_seconds(F.lit(2)), **{k: F.lit("clash") for k in ("list", "pattern", "kind", "verdict", "host", "valid_from", "at_")}})
+    (row,) = url_filter.judge(c, e).collect()
+    assert (row.decision, row.list, row.pattern, row.kind, row.host) == ("block", "l", "bad.com", "clash", "clash")
+
+
 # ---- 7
 
 
@@ -379,6 +431,14 @@ def test_preference_pairs(spark):
     assert got[2].chosen == got[2].rejected == "" and got[2].prompt_turns == 1 and got[3].rejected == "" and got[3].chosen == "<|user|>\n<|end|>\n" and set(got) == {1, 2, 3}
 
 
+def test_preference_odd_tables(spark):
+    kinds = "pair_id long, side string, turn long, role string, text string"
+    assert chat_format.pairs(spark.createDataFrame([], kinds)).count() == 0
+    df = spark.createDataFrame([(1, "chosen", 0, "user", "x" * 200_000), (1, "rejected", 0, "assistant", "")], kinds).withColumns({k: F.lit("clash") for k in ("prompt", "chosen", "rejected", "said", "t", "c", "prompt_turns")})
+    (row,) = chat_format.pairs(df).collect()
+    assert row.prompt == "" and len(row.chosen) > 200_000 and row.rejected == "<|assistant|>\n<|end|>\n" and row.rejected_spans == "14:22"
+
+
 # ---- 8
 
 
@@ -499,6 +559,17 @@ def test_slots_over_a_shifted_alignment():
     assert matched((0, [1], [("n:3", "n:3")])) == (1, True) and matched((0, [1], [("n:3", "n:3"), ("n:3", "n:4")])) == (0, True)
 
 
+def test_decontamination_odd_rows(spark, odd):
+    item = "Seven quiet rivers carry green paper boats toward the old harbour every spring"
+    docs = odd.withColumns({c: F.lit("clash") for c in ("item_id", "hash", "pos", "slots", "t", "wpos", "out", "coverage")})
+    docs = docs.union(docs.where("doc_id = 5").withColumns({"doc_id": F.lit(50).cast("long"), "text": F.concat("text", F.lit(". " + item + ". "), "text")}))
+    items = spark.createDataFrame([(1, item, "x"), (None, item, "x"), (2, None, "x"), (3, "", "x")], "item_id long, text string, hash string")
+    got = decontam.contaminated(docs, items).collect()
+    assert [(r.doc_id, r.item_id, r.exact_slots) for r in got] == [(50, 1, True)]
+    kept = decontam.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and kept.count() == len(ODD)
+
+
 def test_templates():
     t, nums, names, units = decontam.template("Tom has twenty five apples. In New York, Anna Lee pays 7 euros to McDonald and Éva")
     assert t.split() == "\x04tom has \x01 apples. \x04in \x02 , \x02 pays \x01 \x03 to mcdonald and \x02".split() and nums == ["twenty five", "7"] and units == ["euros"]
@@ -518,11 +589,34 @@ def test_slices_of_the_benchmark_agree(spark, monkeypatch):
 
 def test_grammar():
     lex = toxicity.Lexicon({"idiot": 5.0, "vequ*": 4.0})
-    pattern = lambda t: {p for p, v in zip(toxicity.PATTERNS, lex.features(t) or [], strict=False) if v}
+    pattern = lambda t: {p for p, v in zip(toxicity.PATTERNS, lex.patterns(t) or [], strict=False) if v}
     assert pattern("such an idiot here") == {"insult"} and pattern("you are an idiot") == {"insult+"}
     assert pattern("he is not an idiot") == {"insult~+"} and pattern("the paper said idiot") == {"insult'"}
-    assert pattern("i will kill you") == {"threat+"} and pattern("vequxyz") == {"insult"} and pattern("nothing. here") == set()
-    assert pattern("not here. idiot") == {"insult"} and lex.features(None) is None and lex.features("") is None
+    assert pattern("i will kill you") == {"threat", "threat>"} and pattern("vequxyz") == {"insult"} and pattern("nothing. here") == set()
+    assert pattern("not here. idiot") == {"insult"} and lex.patterns(None) is None and lex.patterns("") is None
+    assert pattern("not an idiot, you") == {"insult~", "insult~>"} and {k for _, k in [(1, x) for x in toxicity.Lexicon({"zap": 4.0}, frozenset(["zap"])).read("zap")[:1]]} == {"threat"}
+
+
+def test_weights_are_on_the_arcs():
+    """A clause's score is the sum over its patterns of arc weight times word weight, by the composed machine alone."""
+    r = random.Random(4)
+    lex = toxicity.Lexicon({"idiot": 5.0, "moron": 3.0})
+    arcs = [r.uniform(-1, 2) for _ in toxicity.PATTERNS]
+    machine = toxicity.weighted_grammar(arcs)
+    for _ in range(300):
+        clause = " ".join(r.choice(["idiot", "moron", "kill", "you", "not", "said", "\"", "reat", "asto"]) for _ in range(r.randrange(1, 9)))
+        want = sum(a * x for a, x in zip(arcs, lex.patterns(clause) or [0.0] * len(arcs), strict=True))
+        best, total = lex.scores(clause, machine)
+        assert abs(best - max(0.0, want)) < 1e-9 and abs(total - max(0.0, want)) < 1e-9
+    assert lex.scores("idiot. moron", machine)[1] == pytest.approx(sum(max(0.0, arcs[0] * x) for x in (5.0, 3.0)))
+
+
+def test_threats_are_learned(spark):
+    r = random.Random(13)
+    rows = [(i, f"{text_of(r, 8)} i {r.choice(['will', 'must', 'can'])} {r.choice(['zarg', 'blick'])} {r.choice(['you', 'them', 'him'])} {text_of(r, 4)}. {text_of(r, 3)} snark {text_of(r, 8)}" if i % 2 else text_of(r, 25), i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.learn(df, df)
+    assert {"zarg", "blick"} <= m.threats and "snark" in m.weights and "snark" not in m.threats
 
 
 def test_toxicity_held_out(spark):
@@ -547,5 +641,5 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_odd_rows(spark, odd):
-    rows = toxicity.toxicity(odd, toxicity.Model({"word": 5.0}, [-3.0, *[1.0] * (len(toxicity.PATTERNS) + 1)])).collect()
+    rows = toxicity.toxicity(odd, toxicity.Model({"word": 5.0}, [-3.0, 1.0, 1.0])).collect()
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows) and {r.doc_id for r in rows if r.predicted} == {5}

@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siftline.llm import queries, sp_scan
@@ -45,6 +46,16 @@ def test_run(spark):
     assert "token_ids" in got.columns and got.where("n_tokens > 0").count() == got.count() > 0
 
 
+def test_more_columns(spark):
+    """Columns that the operators use inside stay as they are."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).withColumns({c: F.lit("clash") for c in ("lang_pred", "node", "key", "base", "spans", "words", "out_id_", "out_key_", "id_", "key_", "text_key_", "found_key_", "pii_key_", "span_key_", "copy_key_")})
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, SF)
+        assert now.columns == docs.columns, name
+    assert {r.key for r in now.collect()} == {"clash"}
+
+
 def test_empty_corpus(spark):
     now = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
