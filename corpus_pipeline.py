@@ -14,19 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import decontam, langid, ngram_join, pii, sp_scan
-from siftline.llm.common import save, table, tune
+from siftline.llm.common import forget, save, table, temporary, tune
 
-#: A text of this many letters that resembles no learned language this much is not prose of any of them.
-LETTERS, LEAST_COSINE = 200, 0.1
+#: The standard deviation of two unrelated vectors' cosine: a text that comes no nearer to any language, whatever its length, is of none.
+LEAST_COSINE = langid.DIM**-0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Set lang to the identified language; drop texts without letters and long ones that resemble no language."""
+    """Set lang to the identified language; drop texts without letters and those that resemble no language more than chance does."""
     columns = docs.columns
     profiles = langid.learn(docs)
     found = langid.identify(docs, profiles)
-    strange = (F.length(F.regexp_replace("text", r"\P{L}", "")) >= LETTERS) & (F.col("score") < LEAST_COSINE)
-    return found.where((F.col("lang_pred") != langid.UND) & ~strange).withColumn("lang", F.col("lang_pred")).select(*columns)
+    return found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_COSINE)).withColumn("lang", F.col("lang_pred")).select(*columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,5 +67,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = docs
+        with temporary():
+            docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(before)
     return docs
