@@ -5,15 +5,19 @@ from __future__ import annotations
 import os
 import sys
 import time
+from collections.abc import Iterator
 
 from pyspark.sql import functions as F
 
 from .functions.severity import meets
+from .functions.text import ARCHIVE
 from .operators.diff import load_previous
 from .operators.known import load_hashes
 from .operators.rules import RuleSet
 from .plans.report import console_line, entries, ordered, summary_text, write_html, write_log
 from .plans.scan import scan
+from .sources.archive import read_directory
+from .sources.files import extension, list_files
 
 USAGE = """Usage: python -m siftline [options]
 
@@ -71,6 +75,19 @@ def unquote(path: str) -> str:
     return path
 
 
+def archive_lines(root: str) -> Iterator[str]:
+    """Title and number of entries of every archive that can be read; only their headers are."""
+    for path, _, error in list_files(root):
+        if not error and extension(path) == ARCHIVE:
+            try:
+                with open(path, "rb") as f:
+                    archive = read_directory(f)
+            except OSError:
+                continue
+            if archive.valid:
+                yield f"Archive {path}: {archive.name} ({len(archive.entries)} files)"
+
+
 def main(argv: list[str] | None = None, spark=None, ask=input) -> int:
     """Exit code 1: no rules, no such directory or a log that can't be written; else 0, whatever is found."""
     options = parse(sys.argv[1:] if argv is None else argv)
@@ -102,8 +119,14 @@ def main(argv: list[str] | None = None, spark=None, ask=input) -> int:
     except OSError as e:
         print(f"Error: the log can't be written: {e}", file=sys.stderr)
         return 1
+    hashes = load_hashes(spark, "known_hashes.txt")
+    if hashes is not None:
+        print(f"Known hashes: {hashes.count()}.")
+    if not options["quiet"]:
+        for line in archive_lines(root):
+            print(line)
     began, start = time.perf_counter(), int(time.time())
-    result = scan(spark, root, rules, options["severity"], load_hashes(spark, "known_hashes.txt"), previous).persist()
+    result = scan(spark, root, rules, options["severity"], hashes, previous).persist()
     summary = result.summary()
     seconds = time.perf_counter() - began
     if not options["quiet"]:

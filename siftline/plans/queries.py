@@ -355,6 +355,12 @@ def scan_log(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([tuple(d.get(k) for k in names) for d in found], "file string, severity string, detection string, line_number int, line_text string, decoded_content string")
 
 
+def summary_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of a scan's summary, numbered, without its duration."""
+    text = report.summary_text(scan_files(corpus(spark, sf), RULES, "high").summary(), 0.0)
+    return spark.createDataFrame([(k, line) for k, line in enumerate(text.split("\n")) if not line.startswith("Duration")], "place int, line string")
+
+
 def known_count(spark: SparkSession, sf: str) -> DataFrame:
     return hash_list_parse(spark, sf).agg(F.count(F.lit(1)).alias("hashes"))
 
@@ -391,7 +397,7 @@ QUERIES: dict[str, Query] = {
     "base64_binary_rejected": base64_binary_rejected, "djb2_hash": djb2_hash, "djb2_hash_lines": djb2_hash_lines, "known_hash_hits": known_hash_hits, "skip_known": skip_known,
     "hash_list_parse": hash_list_parse, "diff_new": diff_new, "diff_unchanged": diff_unchanged, "diff_removed": diff_removed, "prefix_offsets": prefix_offsets, "console_lines": console_lines,
     "html_fragment": html_fragment, "json_entry": json_entry, "scan_conversations": _scan_of("conversations", "conv_id", "text"), "scan_event_props": _scan_of("events", "event_id", "props"),
-    "scan_pages": _scan_of("pages", "page_id", "html"), "rule_files": rule_files, "previous_scan": previous_scan, "scan_log": scan_log, "known_count": known_count, "archive_scan": archive_scan, "directory_scan": directory_scan,
+    "scan_pages": _scan_of("pages", "page_id", "html"), "rule_files": rule_files, "previous_scan": previous_scan, "scan_log": scan_log, "known_count": known_count, "summary_lines": summary_lines, "archive_scan": archive_scan, "directory_scan": directory_scan,
 }
 
 
@@ -484,6 +490,8 @@ ORACLES: dict[str, str] = {
     "rule_files": f"WITH {_rules_sql(RULES)} SELECT file_type, rule_id, pattern, detection, severity FROM r",
     "previous_scan": f"SELECT DISTINCT file, CAST(line_number AS INT) AS line_number, detection FROM (VALUES {_values(_LOG)}) v(file, line_number, detection)",
     "scan_log": f"{_BASE} SELECT file, severity, detection, line_number, line_text, nullif(decoded_content, '') AS decoded_content FROM {_NODEC} WHERE severity = 'critical'",
+    "summary_lines": f"{_BASE}, f AS (SELECT count(*) AS files FROM corpus WHERE content <> ''), h AS (SELECT count(*) AS found FROM hits), k AS (SELECT {_sev()} FROM hits WHERE severity IN ('high', 'critical')), "
+    "l AS (SELECT unnest(['Scan complete', NULL, 'Files scanned: ' || files, repeat('-', 32), ' CRITICAL: ' || critical, '     HIGH: ' || high, '   MEDIUM: ' || medium, '      LOW: ' || low, repeat('-', 32), 'TOTAL: ' || found]) AS line, unnest(range(10)) AS place FROM f, h, k) SELECT CAST(place AS INT) AS place, line FROM l WHERE line IS NOT NULL",
     "known_count": f"SELECT count(DISTINCT split_part(x, ';;;', 1)) AS hashes FROM (VALUES {_values((x,) for x in _HASH_LINES)}) v(x) WHERE x <> '' AND NOT starts_with(x, '#')",
     "scan_conversations": _scan_sql("conversations", "conv_id", "text"),
     "scan_event_props": _scan_sql("events", "event_id", "props"),

@@ -177,16 +177,18 @@ def test_command_line(spark, tree, tmp_path_factory, monkeypatch, capsys):
     assert cli.main(["-d", str(tree), "--rules", str(work)], spark) == 1
     assert cli.main(["-d", str(tree), "--html", "-x"], spark) == 0
     out = capsys.readouterr().out
-    assert " in a LUA @ Line #1 | RunString" in out and "Scan complete" in out
+    assert " in a LUA @ Line #1 | RunString" in out and "Scan complete" in out and "p.gma: n (6 files)" in out and "bad.gma" not in out and "Known hashes" not in out
     log = json.loads((work / "scan_log.json").read_text())
     assert log == json.loads((work / "last_scan.json").read_text()) and len(log["detections"]) == 11 and log["files_processed"] == 10
     assert list(log) == sorted(log) and "decoded_content" not in log["detections"][0]
     assert (work / "scan_report.html").exists()
     (tree / "new.lua").write_bytes(HIT)
+    (work / "known_hashes.txt").write_text("aa;;;x\nbb\n")
     assert cli.main(["-q", "--diff"], spark, ask=lambda _: f'"{tree}" -s high') == 0
     log = json.loads((work / "scan_log.json").read_text())
     assert [os.path.basename(d["file"]) for d in log["detections"]] == ["new.lua"]
-    assert " in a " not in capsys.readouterr().out
+    out = capsys.readouterr().out
+    assert " in a " not in out and "files)" not in out and "Known hashes: 2." in out
     assert len(json.loads((work / "last_scan.json").read_text())["detections"]) == 12
     options = cli.parse_answer("some dir -q --diff -s high more --x", cli.parse([]))
     assert (options["directory"], options["quiet"], options["diff"], options["severity"]) == ("some dir more", True, True, "high")
