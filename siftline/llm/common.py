@@ -84,8 +84,8 @@ def temporary() -> Iterator[None]:
             _delete(spark, path)
 
 
-#: Rows of keys that are sent to every executor, at most (some 50 MB).
-SMALL_ROWS = 500_000
+#: Rows of keys that are sent to every executor, at most (some 20 MB).
+SMALL_ROWS = 200_000
 
 
 def small(df: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ from .common import fresh, lean, mix64, runs, save, table
 
 WINDOW, LITERALS, COVERAGE = 5, 3, 0.5
 #: Hashes broadcast at once (8 bytes each).
-SLICE = 2_000_000
+SLICE = 4_000_000
 CHUNK_CHARS = 300_000
 
 # Units and number words that count as slots.
@@ -259,7 +259,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
         exact = True in shape and not weak
         for k in range(slices):
             part = bench.where(F.col("weak") == weak).where(F.pmod(F.col("hash"), F.lit(slices)) == k).select("hash").distinct()
-            wanted = spark.sparkContext.broadcast(np.array(sorted(r.hash for r in part.toLocalIterator()), np.int64))
+            wanted = spark.sparkContext.broadcast(np.sort(np.fromiter((r.hash for r in part.toLocalIterator()), np.int64)))
 
             def run(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
                 for batch in batches:

@@ -32,8 +32,8 @@ PAGES, EPOCHS, SEED = 700, 150, 7
 
 # HTML's element classes. RAW elements show no text of their own in the page: code, fields, and what
 # stands in for media or scripts that a browser plays; formulas and drawings do, so their text stays.
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe audio video canvas select annotation annotation-xml".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = frozenset("script style noscript template textarea title iframe audio video canvas select annotation annotation-xml desc metadata".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul button label".split())
 CLOSES_P = BLOCK - frozenset("button label option optgroup legend".split())
 #: A start tag ends these open elements, up to the nearest of the second set.
