@@ -212,15 +212,22 @@ def handed_on(counts: dict[int, int], window: int) -> list[tuple[int, int, int]]
 
 
 def _seams(threshold: float, window: int):
+    """Forests of the links between a partition's first rows and the last rows before it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Gathered(pa.int64())
         for t, offsets in whole_groups(batches, "seam"):
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
                 part = t.slice(a, b - a)
                 begin = int(np.count_nonzero(part.column("tail").to_numpy(zero_copy_only=False)))
                 left, right = _near(*_normal(part), threshold, window, begin)
                 ok = left < begin
+                root = roots(part.num_rows, left[ok], right[ok])
+                far = np.flatnonzero(root != np.arange(part.num_rows))
                 node = part.column("node").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(node[left[ok]]), pa.array(node[right[ok]])], ["src", "dst"])
+                found.link(pa.array(node[far]), pa.array(node[root[far]]))
+            yield from (pa.RecordBatch.from_arrays(list(x), ["src", "dst"]) for x in found.forest())
+        yield from (pa.RecordBatch.from_arrays(list(x), ["src", "dst"]) for x in found.forest(True))
 
     return run
 
